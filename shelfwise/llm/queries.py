@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, near_dedup, sharding
+from . import bpe, exact_dedup, fingerprints, html_text, language_id, language_model, near_dedup, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -22,6 +27,16 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprints.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), path, round_trip=True)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return encoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents"), path, end_id=2, capacity=1024), capacity=1024)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also n_within, for the ids divisible by 100: the rows whose fingerprint is at most 3 bits away, themselves included."""
     edited = fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
@@ -34,11 +49,23 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_chars", "edited_sha256", *hexes, "near_edited", "near_next", "n_within")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_near_dedup, op6_fingerprints, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_shards, op3_near_dedup, op4_bpe, op5_packing, op6_fingerprints, op7_html_text, op8_quality, op9_language_id, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
