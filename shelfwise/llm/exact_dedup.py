@@ -79,7 +79,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = written(pairs.join(names, ["a", "b"]).select("row", "n", "pos", "name"), "parts")
     identified = written(rows.drop("keys").join(reduce(DataFrame.unionByName, ended), "row"), "identities")
 
-    groups = identified.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep"))
+    groups = written(identified.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")), "groups")  # apart from the join, so that Spark can split a large group there
     joined = identified.join(groups, ["level", "name"])
     return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", F.struct("level", "name").alias("identity"))
 
