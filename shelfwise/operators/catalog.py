@@ -124,9 +124,18 @@ def replace_deals(offers: DataFrame, staged: DataFrame, chains: list[str]) -> Da
 
 
 def group_members(offers: DataFrame) -> DataFrame:
-    """Offers that belong to a group of interchangeable commodities, with the group's key, family and label."""
-    group = classify_offer(F.col("name"), F.col("unit_dimension"), F.col("unit_qty_si"), F.col("is_weighable"))
-    return offers.withColumn("_group", group).where("_group is not null").select("*", F.col("_group.key").alias("group_key"), F.col("_group.family").alias("family"), F.col("_group.label").alias("label")).drop("_group")
+    """Offers that belong to a group of interchangeable commodities, with the group's key, family and label.
+
+    Rules are applied to distinct names and sizes, of which there are far fewer than offers; the
+    join back is by those columns, nulls equal to each other.
+    """
+    rule = ["name", "unit_dimension", "unit_qty_si", "is_weighable"]
+    distinct = offers.select(*rule).distinct().withColumn("_name", normalize_text(F.col("name")))
+    group = classify_offer(F.col("name"), F.col("unit_dimension"), F.col("unit_qty_si"), F.col("is_weighable"), F.col("_name"))
+    # explode applies the long rule once, and drops what has no group
+    found = distinct.select(*(F.col(c).alias(f"_{c}_") for c in rule), F.explode(F.array_compact(F.array(group))).alias("_group"))
+    same = reduce(lambda a, b: a & b, (offers[c].eqNullSafe(found[f"_{c}_"]) for c in rule))
+    return offers.join(found, same).select(*offers.columns, F.col("_group.key").alias("group_key"), F.col("_group.family").alias("family"), F.col("_group.label").alias("label"))
 
 
 def build_groups(members: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth order as a shopping list."""
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("item_id"), F.col("l_partkey").alias("canonical_product_id"), F.lit(None).cast("string").alias("group_key"), F.col("l_quantity").alias("quantity"))
+    """Every hundredth order as a shopping list; of lines with one number the least part and the largest quantity."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0").groupBy(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("item_id"))
+    return lines.agg(F.min("l_partkey").alias("canonical_product_id"), F.max("l_quantity").alias("quantity")).withColumn("group_key", F.lit(None).cast("string"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ offers AS (SELECT n_name AS chain, l_suppkey AS store_id, s_name AS store_name,
     FROM priced JOIN part p ON l_partkey = p.p_partkey JOIN units u ON u.p_partkey = p.p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 latest AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY scraped_at DESC, seq DESC) AS n FROM offers) WHERE n = 1),
 branches AS (SELECT n_name AS chain, s_suppkey AS store_id, s_name AS store_name, 29.5 + (s_suppkey * 37 % 350) / 100 AS lat, 34.2 + (s_suppkey * 53 % 150) / 100 AS lng FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-list_items AS (SELECT l_orderkey AS list_id, l_linenumber AS item_id, l_partkey AS canonical_product_id, l_quantity AS quantity FROM lineitem WHERE l_orderkey % 100 = 0)"""
+list_items AS (SELECT l_orderkey AS list_id, l_linenumber AS item_id, min(l_partkey) AS canonical_product_id, max(l_quantity) AS quantity FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1, 2)"""
 DEALS_SQL = """
 deals AS (SELECT *, line % 3 = 0 AS bundle, CASE WHEN line % 3 = 0 THEN CAST(line % 2 + 2 AS INT) ELSE 1 END AS min_qty, line % 3 = 0 OR sale_price IS NOT NULL AS has_deal,
     CASE WHEN line % 3 = 0 THEN CAST(price * CAST(line % 2 + 2 AS INT) * CAST(0.90 AS DECIMAL(3,2)) AS DECIMAL(18,2)) ELSE sale_price END AS deal_price FROM latest)"""

@@ -28,7 +28,7 @@ def _query(sql: str | None = None):
 
 def _round(x: str, n: int) -> str:
     """Half up on the decimal digits, as the engine rounds."""
-    return f"CAST(round(CAST({x} AS DECIMAL(28,10)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), {n}) AS DOUBLE)"
 
 
 _WITH = "WITH" + O.OFFERS_SQL
@@ -236,7 +236,7 @@ def basket_grid(spark, sf_dir):
     return basket.line_grid(basket.best_lines(candidates), items).select("list_id", "item_id", "chain", "store_id", "line_total")
 
 
-@_query("SELECT l_orderkey AS list_id, count(*) AS item_count, round(sum(l_quantity), 3) AS total_quantity FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1")
+@_query(f"{_WITH} SELECT list_id, count(*) AS item_count, round(sum(quantity), 3) AS total_quantity FROM list_items GROUP BY 1")
 def list_summary(spark, sf_dir):
     return basket.list_summary(O.list_items(spark, sf_dir))
 
@@ -244,7 +244,7 @@ def list_summary(spark, sf_dir):
 _KM = "2 * 6371.0088 * atan2(sqrt(h), sqrt(1 - h))"
 
 
-@_query(f"""WITH {O.OFFERS_SQL[O.OFFERS_SQL.index('branches AS'):O.OFFERS_SQL.rindex(',')].rstrip().rstrip(',')}, far AS (SELECT *, pow(sin((radians(lat) - radians(32.0853)) / 2), 2) + cos(radians(32.0853)) * cos(radians(lat)) * pow(sin(radians(lng - 34.7818) / 2), 2) AS h FROM branches),
+@_query(f"""{_WITH}, far AS (SELECT *, pow(sin((radians(lat) - radians(32.0853)) / 2), 2) + cos(radians(32.0853)) * cos(radians(lat)) * pow(sin(radians(lng - 34.7818) / 2), 2) AS h FROM branches),
     ranked AS (SELECT chain, store_id, CAST(round({_KM}, 3) AS DOUBLE) AS km, row_number() OVER (PARTITION BY chain ORDER BY round({_KM}, 3), store_id) AS n FROM far) SELECT chain, store_id, km FROM ranked WHERE n = 1""")
 def nearest_store(spark, sf_dir):
     km = F.round(links.haversine_km(F.lit(32.0853), F.lit(34.7818), F.col("lat"), F.col("lng")), 3)
@@ -364,12 +364,9 @@ def coverage_summary(spark, sf_dir):
 def _matches(spark, sf_dir) -> DataFrame:
     rows = coverage.prepared(_catalogue(spark, sf_dir))
     reference = rows.where("chain in ('NATION_0', 'NATION_1')").groupBy(text.reference_key(F.col("code"), F.col("exact_key")).alias("reference_id")).agg(*(F.min_by(c, F.struct("scraped_at", "seq")).alias(c) for c in ("code", "exact_key", "brand_norm", "name_norm", "tokens", "qty_sig")))
-    found = None
-    for chain in ("NATION_2", "NATION_3", "NATION_4"):
-        target = rows.where(F.col("chain") == chain).withColumn("target_id", F.col("product_id"))
-        one = coverage.match_catalog(reference, target).withColumn("target_chain", F.lit(chain))
-        found = one if found is None else found.unionByName(one)
-    return found
+    targets = ["NATION_2", "NATION_3", "NATION_4"]
+    target = rows.where(F.col("chain").isin(targets)).select("*", F.col("product_id").alias("target_id"), F.col("chain").alias("target_chain"))
+    return coverage.match_catalog(reference, target, targets)
 
 
 @_query(f"""{_WITH}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain, product_id ORDER BY scraped_at, seq) AS n FROM offers) WHERE n = 1 AND barcode IS NOT NULL),
@@ -432,11 +429,11 @@ def trigram_similarity(spark, sf_dir):
     return O.table(spark, sf_dir, "part").select("p_partkey", F.round(text.trigram_similarity(F.col("p_name"), F.lit("blue gadget")), 6).alias("similarity"))
 
 
-@_query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS p FROM lineitem), b AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE WHEN l_orderkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END AS p, l_orderkey % 11 = 0 AS gone FROM lineitem)
+@_query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity) AS p FROM lineitem GROUP BY 1, 2), b AS (SELECT k, i, CASE WHEN k % 7 = 0 THEN p + 1 ELSE p END AS p, k % 11 = 0 AS gone FROM a)
     SELECT a.k AS kind, a.i AS row_index, CASE WHEN gone THEN 'row_count' ELSE 'price_mismatch' END AS "check" FROM a JOIN b USING (k, i) WHERE gone OR abs(a.p - b.p) > 0.01""")
 def compare_rows(spark, sf_dir):
     """Line items against a copy in which some prices differ and some rows are missing."""
-    line = O.table(spark, sf_dir, "lineitem")
+    line = O.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
     base = line.select(F.col("l_orderkey").alias("kind"), F.col("l_linenumber").alias("row_index"), *(F.lit("x").alias(c) for c in ("chain_name", "store_name", "place", "deal_text", "deal_price_text", "deal_type")), F.col("l_quantity").alias("q"))
     left = base.withColumn("row_price_text", F.col("q").cast("string"))
     right = base.where("kind % 11 <> 0").withColumn("row_price_text", F.when(F.col("kind") % 7 == 0, F.col("q") + 1).otherwise(F.col("q")).cast("string"))
