@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Words, and pairs of tokens, that a worker remembers; when full, it starts anew.
 REMEMBERED = 300_000
@@ -41,6 +42,13 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def _unassigned() -> list[tuple[int, int]]:
+    """The ranges of code points that Python's tables don't know."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)]
+    edges = [c for c in range(1, 0x110000) if known[c] != known[c - 1]] + [0x110000]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:]) if not known[a]]
+
+
 class Vocabulary:
     """A BPE vocabulary with word ends, from a file of the tokenizers library."""
 
@@ -55,6 +63,9 @@ class Vocabulary:
             raise ValueError(f"{path}: another kind of vocabulary")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.ascii_pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+        #: For characters that are newer than Python's tables, the words are the library's own.
+        self.library = Tokenizer.from_file(path)
+        self.unknown = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _unassigned()) + "]")
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.symbols = _byte_symbols()
@@ -128,10 +139,12 @@ class Vocabulary:
             at, choice = end, len(found[end]) if end < size else 0
         return [token for _, _, token in path]
 
-    def _word(self, word: str) -> bytes:
-        symbols = [self.symbols[b] for b in word.encode()]
+    def _symbols(self, symbols: list[str]) -> bytes:
         symbols[-1] = chr(ord(symbols[-1]) + _END)
-        ids = np.array(self.encode_symbols("".join(symbols)), dtype="<u4").tobytes()
+        return np.array(self.encode_symbols("".join(symbols)), dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self._symbols([self.symbols[b] for b in word.encode()])
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         if len(word) < 64:
@@ -145,6 +158,10 @@ class Vocabulary:
             if part in self.special:
                 ids.append(np.array([self.special[part]], dtype="<u4").tobytes())
                 continue
+            if not part.isascii() and self.unknown.search(part):
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                ids += [self._symbols(list(word)) for word, _ in cut]
+                continue
             if part.isascii():
                 words = self.ascii_pattern.findall(part.lower())
             else:

@@ -118,8 +118,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row of the next one. The texts are shuffled once, by range.
     """
     ranges = buckets or 4 * partitions(docs.sparkSession)
-    bounds = docs.select(F.col(id_col).cast("double").alias("id")).where("id is not null").approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    bounds = sorted(set(bounds))
+    shares = [i / ranges for i in range(1, ranges)]
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("double"), shares, 4 * ranges)).first()[0] if shares else None
+    bounds = sorted(set(found or []))
     place = F.coalesce(F.lit(len(bounds)) - _bucket(F.col("doc_id").cast("double"), bounds), F.lit(len(bounds)))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(place))
 

@@ -34,7 +34,7 @@ _FACTOR = np.uint32(2654435769)  # the golden ratio's share of 32 bits, a usual
 
 def present(text: str) -> np.ndarray | None:
     """The hashes of the n-grams that a whole text has; null if it has no letter."""
-    if not _LETTER.search(text):
+    if not any(m[0].isalpha() for m in _LETTER.finditer(text)):  # the pattern also has numerals that are no digits
         return None
     bytes_ = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode(), dtype=np.uint8).astype(np.uint32)
     flags = np.zeros(WIDTH, dtype=bool)
