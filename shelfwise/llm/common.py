@@ -47,5 +47,10 @@ def crc_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def drawn_share(drawn: Column, share: float) -> Column:
+    """Whether a 64-bit hash is in the lowest share of its range: a sample without a sort or a shuffle."""
+    return F.lit(True) if share >= 1 else drawn < F.lit(int((share - 0.5) * 2**64))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

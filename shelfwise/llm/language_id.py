@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, drawn_share
 
 NONE = "und"
 #: Numbers of n-gram hashes, of learning texts and of landmarks for each language, of languages (the most frequent).
@@ -84,21 +84,16 @@ def _fit(flags: np.ndarray, langs: list[str], landmarks: int) -> Model:
 def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
     """A model of the languages in lang_col, from a bounded sample of the rows where learn_from holds.
 
-    Up to sample rows of each of the LANGUAGES most frequent languages are drawn by a hash of
-    their ids. Texts without letters and rows without a language teach nothing; if there is
+    Of each of the LANGUAGES most frequent languages the rows are drawn whose hash of the id is in
+    the lowest share that is likely to have sample rows, and the first sample of them count. Texts without letters and rows without a language teach nothing; if there is
     nothing else, there is no model.
     """
     drawn = F.xxhash64(F.col(id_col).cast("string"))
     usable = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), drawn.alias("drawn"), F.col(text_col).alias("text"))
-    named = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not named:
-        return None
-    by_hash = Window.partitionBy("lang").orderBy("drawn")
-    ranked = usable.select("lang", "drawn").where(F.col("lang").isin(named)).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sample)
-    last = {r["lang"]: r["last"] for r in ranked.groupBy("lang").agg(F.max("drawn").alias("last")).collect()}
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     within = F.lit(False)
-    for lang, bound in last.items():
-        within = within | ((F.col("lang") == lang) & (F.col("drawn") <= bound))
+    for r in counts:
+        within = within | ((F.col("lang") == r["lang"]) & drawn_share(F.col("drawn"), 1.2 * sample / r["n"]))
 
     def flagged(batches):
         for batch in batches:

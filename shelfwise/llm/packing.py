@@ -4,8 +4,8 @@ Pieces are dealt to partitions of a bounded number of rows. Each partition packs
 best-fit decreasing and computes lower bounds on the number of bins by dual feasible functions. A
 partition whose count equals its bound is certified: no packing of its pieces has fewer bins.
 Partitions with a gap exchange documents: the pieces of their bins that have room left are dealt
-anew and packed again, and the new packing is taken if it has fewer bins. This is repeated until
-all is certified, a round gains nothing, or the rounds are used up.
+anew, to larger partitions, and packed again, and the new packing is taken if it has fewer bins.
+This is repeated until all is certified or the rounds are used up.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .bpe import _byte_symbols
 from .common import written
 
 CAPACITY = 1024
-#: Pieces of a partition, on average.
-PART_ROWS = 50_000
+#: Pieces of a partition, on average; how many times as many one has in each further round, and at most.
+PART_ROWS, GROWTH, MOST_ROWS = 50_000, 4, 400_000
 ROUNDS = 4
 
 # How byte-level vocabularies of this kind split texts.
@@ -149,7 +149,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
         return group.assign(sequence_id=firsts[bins], offset=offsets, fill=fill[bins], bins=n, bound=lower_bound(sizes, capacity))
 
     def packing(rows: DataFrame, n: int, seed: int) -> DataFrame:
-        parts = -(-n // part_rows)
+        parts = -(-n // min(part_rows * GROWTH**seed, max(part_rows, MOST_ROWS)))
         dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(max(parts, 1))).cast("int"))
         return written(dealt.groupBy("part").applyInPandas(packed, schema), "packed")
 
@@ -165,7 +165,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
             break
         again = packing(open_rows.select(*pieces.columns), n, seed)
         if again.where("offset = 0").count() >= before:
-            break
+            continue
         settled.append(current.where(~gap).select(*result_columns))
         current = again
     return functools.reduce(DataFrame.unionByName, [*settled, current.select(*result_columns)])

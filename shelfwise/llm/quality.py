@@ -16,10 +16,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, drawn_share
 
 #: Labelled documents of each label that a model is fitted on, and lines of such a document.
 SAMPLE = 1500
@@ -131,17 +131,20 @@ def _fit(features: np.ndarray, firsts: np.ndarray, labels: np.ndarray) -> Field:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Field | None:
-    """A field fitted on a bounded sample: of each label, up to sample rows where learn_from holds.
+    """A field fitted on a bounded sample: of each label, about sample rows where learn_from holds.
 
-    learn_from is a condition on doc_id, the name of the id in this function. Rows are drawn by a
-    hash of their ids; null labels and ids aren't used, a null text counts as empty, and of the
+    learn_from is a condition on doc_id, the name of the id in this function. Rows are drawn whose
+    hash of the id is in the lowest share that is likely to have sample rows; null labels and ids aren't used, a null text counts as empty, and of the
     drawn documents those with over sample_lines lines are left out. Without labelled rows there
     is no model.
     """
     usable = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where(learn_from & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    drawn = usable.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= sample).select(F.col("doc_id").alias("_id"), "label")
+    within = F.lit(False)
+    for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect():
+        within = within | ((F.col("label") == r["label"]) & drawn_share(F.xxhash64("doc_id"), sample / r["n"]))
+    drawn = usable.where(within).select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    chosen = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))  # 2 * sample rows at most
+    chosen = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))  # about 2 * sample ids
 
     def of(batches):
         for batch in batches:
