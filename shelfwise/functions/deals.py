@@ -22,7 +22,7 @@ def _deal(kind: Column | str, description: Column, price: Column, qty: Column, p
     kind = F.lit(kind) if isinstance(kind, str) else kind
     return F.struct(
         F.lit(True).alias("has_deal"), kind.alias("deal_type"), description.alias("deal_description"), price.cast("decimal(18,2)").alias("deal_price"),
-        qty.cast("int").alias("deal_min_qty"), per_unit.cast("double").alias("deal_price_per_unit"), none.alias("price_per_base_unit"), none.alias("price_per_base_unit_deal"),
+        qty.try_cast("int").alias("deal_min_qty"), per_unit.cast("double").alias("deal_price_per_unit"), none.alias("price_per_base_unit"), none.alias("price_per_base_unit_deal"),
     ).cast(DEAL)
 
 
@@ -57,7 +57,7 @@ def deal_from_message(message: Column, codes: Column, promo: Column, regular: Co
     qty, total, single = F.regexp_extract(text, N_UNITS_FOR_PRICE, 1), F.regexp_extract(text, N_UNITS_FOR_PRICE, 2), F.regexp_extract(text, FOR_PRICE, 1)
     return (
         F.when(text.isNull() & (promo < regular), price_reduction(promo, F.lit("מחיר מבצע")))
-        .when(qty != "", multi_buy(qty.cast("int"), total.try_cast("double"), text))
+        .when(qty != "", multi_buy(qty.try_cast("int"), total.try_cast("double"), text))
         .when(single != "", price_reduction(single.try_cast("double"), text))
         .when(text.isNotNull() | (F.size(F.coalesce(codes, F.array().cast("array<string>"))) > 0), other_deal(F.coalesce(text, F.lit("מבצע"))))
     )
@@ -68,7 +68,7 @@ def deal_from_tiers(tiers: Column, sale: Column, regular: Column) -> Column:
     ranked = F.transform(tiers, lambda t, i: F.struct(F.coalesce(t["final_price"]["value"], F.lit(float("inf"))).alias("price"), i.alias("i"), t["quantity"].alias("qty")))
     best = F.array_min(ranked)
     total = best["price"] * best["qty"]
-    words = F.format_string("%d יחידות", best["qty"].cast("int"))
+    words = F.format_string("%d יחידות", best["qty"].try_cast("int"))
     tier = F.when((best["price"] < float("inf")) & (best["qty"] > 0), _deal("multi_buy", words, total, best["qty"], best["price"]))
     return F.when(sale < regular, price_reduction(sale, F.lit("מחיר מבצע"))).otherwise(tier)
 
@@ -86,7 +86,7 @@ def deal_from_compare_text(deal_text: Column, button: Column, shelf: Column) ->
     words = F.coalesce(F.nullif(text, F.lit("")), price_text)
     return (
         F.when((text == "") & (price_text == ""), None)
-        .when(qty.cast("int") > 0, multi_buy(qty.cast("int"), total.try_cast("double"), words))
+        .when(qty.try_cast("int") > 0, multi_buy(qty.try_cast("int"), total.try_cast("double"), words))
         .when(on_button < shelf, price_reduction(on_button, words))
         .when(in_text < shelf, price_reduction(in_text, words))
         .otherwise(other_deal(words))
