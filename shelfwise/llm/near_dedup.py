@@ -150,13 +150,51 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, but of each group only the one with the least id.
+def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle."""
+
+    def of(batches):
+        form, digest = b" ".join([b"%b"] * words), xxhash.xxh64_intdigest
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                parts = (text or b"").lower().split()
+                own = {digest(form % x, SEED) for x in zip(*(parts[i:] for i in range(words)))} or {digest(b" ".join(parts), SEED)}
+                found.append(np.array(sorted(own), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
-    Rows that repeat an id count as one; of a group whose ids are all null one row stays.
+
+def similar_to_first(docs: DataFrame, groups: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b) of groups' rows (doc_id, component_id) whose Jaccard similarity over shingles is at least `least`.
+
+    A check of candidates: only documents that are in a group of several are read, each once.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates([id_col])
+    pairs = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    named = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
+    sets = written(shingle_sets(named, words, id_col, text_col), "shingles")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return joined.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, **options) -> DataFrame:
+    """The rows of docs, with all their columns, but of each group only the one with the least id.
+
+    Groups are those of near_groups, and joined with them the documents that are at most radius
+    bits from each other in fingerprints of single words and have, with the group's first one, a
+    Jaccard similarity of at least `least` over shingles of `words` words. Single words catch
+    copies with more edits than shingles do; the check leaves other documents alone. Rows that
+    repeat an id count as one; rows with a null id stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    strict = near_groups(named, id_col=id_col, text_col=text_col, **options)
+    loose = near_groups(named, id_col=id_col, text_col=text_col, **options | {"shingle": 1})
+    links = strict.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    roots = components(links.unionByName(similar_to_first(named, loose, least, words, id_col, text_col)))
+    gone = roots.where("node <> root").select(F.col("node").alias("_gone")).distinct()
+    stay = named.join(gone, named[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
+    return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -93,3 +93,27 @@ def test_odd_rows_and_none(odd, none):
     assert near_dedup.near_groups(none).count() == 0
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
     assert near_dedup.drop_near_copies(none).count() == 0
+
+
+def test_copies_with_edits_go_and_other_documents_stay(spark):
+    random.seed(8)
+    lexicon = [f"w{i}" for i in range(3000)]
+    common = ["the", "of", "and", "to", "in", "is"]
+    base = [random.choice(common if random.random() < 0.6 else lexicon) for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 9):
+        copy = list(base)
+        for at in random.sample(range(400), 2):
+            copy[at] = random.choice(lexicon)
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(random.choice(common if random.random() < 0.6 else lexicon) for _ in range(400))) for i in range(20)]
+    shuffled = list(base)
+    random.shuffle(shuffled)
+    rows += [(200, " ".join(shuffled)), (None, "a b"), (None, "c d")]
+    stay = [r.doc_id for r in near_dedup.drop_near_copies(make_docs(spark, rows)).collect()]
+    assert {i for i in stay if i is not None} >= {0, 200, *range(100, 120)} and stay.count(None) == 2
+    assert len([i for i in stay if i is not None and 0 < i < 9]) <= 3
+    sets = {r.doc_id: set(r.shingles) for r in near_dedup.shingle_sets(make_docs(spark, rows)).collect() if r.doc_id is not None}
+    groups = spark.createDataFrame([(i, 0) for i in range(9)] + [(200, 0)], "doc_id long, component_id long")
+    found = {r.a for r in near_dedup.similar_to_first(make_docs(spark, rows), groups).collect()}
+    assert found == {i for i in [*range(1, 9), 200] if len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0])}
