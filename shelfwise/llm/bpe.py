@@ -42,11 +42,13 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-def _unassigned() -> list[tuple[int, int]]:
-    """The ranges of code points that Python's tables don't know."""
-    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)]
-    edges = [c for c in range(1, 0x110000) if known[c] != known[c - 1]] + [0x110000]
-    return [(a, b - 1) for a, b in zip(edges, edges[1:]) if not known[a]]
+#: All code points up to here are in Python's tables.
+_BEYOND = re.compile("[^\\x00-\\u0377]")
+
+
+def has_unknown(text: str) -> bool:
+    """Whether a text has code points that Python's tables don't know."""
+    return bool(_BEYOND.search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 class Vocabulary:
@@ -65,7 +67,6 @@ class Vocabulary:
         self.ascii_pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
         #: For characters that are newer than Python's tables, the words are the library's own.
         self.library = Tokenizer.from_file(path)
-        self.unknown = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _unassigned()) + "]")
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.symbols = _byte_symbols()
@@ -158,7 +159,7 @@ class Vocabulary:
             if part in self.special:
                 ids.append(np.array([self.special[part]], dtype="<u4").tobytes())
                 continue
-            if not part.isascii() and self.unknown.search(part):
+            if not part.isascii() and has_unknown(part):
                 cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
                 ids += [self._symbols(list(word)) for word, _ in cut]
                 continue
