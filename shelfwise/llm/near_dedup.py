@@ -167,34 +167,51 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
-def similar_to_first(docs: DataFrame, groups: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b) of groups' rows (doc_id, component_id) whose Jaccard similarity over shingles is at least `least`.
+def likely_pairs(docs: DataFrame, radius: int = 2, shingle: int = 1, id_col: str = "doc_id", text_col: str = "text", segments: int = 2, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of ids, a > b, to be checked: documents that share a fingerprint or have near ones.
 
-    A check of candidates: only documents that are in a group of several are read, each once.
+    The least id stands for all documents of a fingerprint: it is paired with each of them, and
+    with those that stand for the fingerprints that near_pairs links to its own.
     """
-    pairs = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), "candidates")
+    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    first, second = (classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
+    near = near_pairs(prints, radius, segments, crowd).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = near.join(first, "a").join(second, "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
+    own = prints.join(classes, "fp").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    return near.unionByName(own.distinct())
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs (a, b) of ids whose documents' Jaccard similarity over shingles is at least `least`.
+
+    Only documents that are in a pair are read, each once. Sets whose sizes alone rule the
+    similarity out aren't brought together.
+    """
+    pairs = written(pairs.select("a", "b").distinct(), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     named = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
-    sets = written(shingle_sets(named, words, id_col, text_col), "shingles")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = written(shingle_sets(named, words, id_col, text_col).withColumn("n", F.size("shingles")), "shingles")
+    sizes = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab"]
+    fitting = written(pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")), "fitting")
+    joined = fitting.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return joined.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return joined.where(both >= least * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, **options) -> DataFrame:
     """The rows of docs, with all their columns, but of each group only the one with the least id.
 
-    Groups are those of near_groups, and joined with them the documents that are at most radius
-    bits from each other in fingerprints of single words and have, with the group's first one, a
-    Jaccard similarity of at least `least` over shingles of `words` words. Single words catch
-    copies with more edits than shingles do; the check leaves other documents alone. Rows that
-    repeat an id count as one; rows with a null id stay.
+    Groups are those of near_groups, and joined with them the pairs of likely_pairs, by
+    fingerprints of single words, that have a Jaccard similarity of at least `least` over shingles
+    of `words` words. Single words catch copies with more edits than shingles do; the check leaves
+    other documents alone. Rows that repeat an id count as one; rows with a null id stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
     strict = near_groups(named, id_col=id_col, text_col=text_col, **options)
-    loose = near_groups(named, id_col=id_col, text_col=text_col, **options | {"shingle": 1})
+    likely = likely_pairs(named, id_col=id_col, text_col=text_col, **options | {"shingle": 1})
     links = strict.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    roots = components(links.unionByName(similar_to_first(named, loose, least, words, id_col, text_col)))
+    roots = components(links.unionByName(similar_pairs(named, likely, least, words, id_col, text_col)))
     gone = roots.where("node <> root").select(F.col("node").alias("_gone")).distinct()
     stay = named.join(gone, named[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

@@ -114,6 +114,20 @@ def test_copies_with_edits_go_and_other_documents_stay(spark):
     assert {i for i in stay if i is not None} >= {0, 200, *range(100, 120)} and stay.count(None) == 2
     assert len([i for i in stay if i is not None and 0 < i < 9]) <= 3
     sets = {r.doc_id: set(r.shingles) for r in near_dedup.shingle_sets(make_docs(spark, rows)).collect() if r.doc_id is not None}
-    groups = spark.createDataFrame([(i, 0) for i in range(9)] + [(200, 0)], "doc_id long, component_id long")
-    found = {r.a for r in near_dedup.similar_to_first(make_docs(spark, rows), groups).collect()}
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 9)] + [(200, 0)], "a long, b long")
+    found = {r.a for r in near_dedup.similar_pairs(make_docs(spark, rows), pairs).collect()}
     assert found == {i for i in [*range(1, 9), 200] if len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0])}
+
+
+def test_likely_pairs_link_what_near_groups_groups(spark, documents):
+    expected: dict[int, set[int]] = {}
+    for r in near_dedup.near_groups(documents, shingle=1).collect():
+        expected.setdefault(r.component_id, set()).add(r.doc_id)
+    for crowd in (64, 1):
+        pairs = near_dedup.likely_pairs(documents, crowd=crowd)
+        assert pairs.where("a <= b").count() == 0
+        roots = {r.node: r.root for r in near_dedup.components(pairs).collect()}
+        found: dict[int, set[int]] = {}
+        for own in (i for ids in expected.values() for i in ids):
+            found.setdefault(roots.get(own, own), set()).add(own)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
