@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drawn_share, written
 
 BITS = 64
 SEED = 42
@@ -150,23 +150,101 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text, in ascending order; fewer words are one shingle."""
+    form, digest = b" ".join([b"%b"] * words), xxhash.xxh64_intdigest
+    parts = (text or b"").lower().split()
+    own = {digest(form % x, SEED) for x in zip(*(parts[i:] for i in range(words)))} or {digest(b" ".join(parts), SEED)}
+    found = np.fromiter(own, dtype=np.uint64, count=len(own)).view(np.int64)
+    found.sort()
+    return found
+
+
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle."""
 
     def of(batches):
-        form, digest = b" ".join([b"%b"] * words), xxhash.xxh64_intdigest
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                parts = (text or b"").lower().split()
-                own = {digest(form % x, SEED) for x in zip(*(parts[i:] for i in range(words)))} or {digest(b" ".join(parts), SEED)}
-                found.append(np.array(sorted(own), dtype=np.uint64).view(np.int64))
+            found = [_shingles(text, words) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
+def _prefixes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str, late) -> DataFrame:
+    """doc_id, n (the size of its set), the shingles of each row's prefix, and how many come after each in its set.
+
+    Two sets of similarity `least` share at least least * n of either's n shingles, so if shingles
+    have one order for all, their first n - ceil(least * n) + 1 have one in common. The order is
+    that of the hashes, but those in the broadcast array late come last.
+    """
+
+    def of(batches):
+        last = late.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found, sizes = [], []
+                for text in part.column(1).to_pylist():
+                    own = _shingles(text, words)
+                    if len(last):
+                        is_late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+                        own = np.concatenate([own[~is_late], own[is_late]])
+                    sizes.append(len(own))
+                    found.append(own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1])
+                counts = [len(x) for x in found]
+                rows, n = pa.array(np.repeat(np.arange(part.num_rows), counts)), np.repeat(np.array(sizes, dtype=np.int32), counts)
+                after = n - 1 - np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(n), pa.array(np.concatenate(found)), pa.array(after.astype(np.int32))], names=["doc_id", "n", "shingle", "after"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, shingle long, after int")
+
+
+def _common(docs: DataFrame, words: int, id_col: str, text_col: str, crowd: int) -> np.ndarray:
+    """The shingles of likely over crowd rows, in ascending order, by the rows in an eighth of the ids' hashes."""
+    drawn = docs.where(drawn_share(F.xxhash64(F.col(id_col).cast("string")), 1 / 8))
+    found = shingle_sets(drawn, words, id_col, text_col).select(F.explode("shingles").alias("shingle"))
+    found = found.groupBy("shingle").count().where(F.col("count") > crowd / 8).select("shingle").toArrow()
+    return np.sort(found.column("shingle").to_numpy())
+
+
+def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """Links (a, b), a > b, of ids whose Jaccard similarity over shingles is at least `least`.
+
+    With the links of known, they have the components that known and all such pairs have. Similar
+    sets meet in a shingle of their prefixes. First the least id that a shingle has is checked with
+    its others. Then all pairs that meet in a shingle and aren't in one component yet are checked,
+    so a large group of near copies takes no pairs in the square of its number. Shingles that seem
+    common are the last in the prefixes' order, so that a passage in many texts doesn't bring them
+    together; which those are is estimated, as any order finds the same pairs.
+    """
+    sc = docs.sparkSession.sparkContext
+    rows = _prefixes(docs, least, words, id_col, text_col, sc.broadcast(_common(docs, words, id_col, text_col, crowd)))
+    every = Window.partitionBy("shingle")
+    rows = rows.withColumns({"first": F.min(F.struct("doc_id", "n", "after")).over(every), "last": F.max("doc_id").over(every)}).where(F.col("first.doc_id") < F.col("last"))
+    met = written(rows.select("shingle", "doc_id", "n", "after", "first"), "met")
+
+    def fits(n: str, m: str, after: str, other: str) -> Column:
+        """If sets' sizes and what comes after the shingle in each leave room; the first shingle in common of similar sets does."""
+        n, m, rest = F.col(n), F.col(m), F.least(after, other) + 1
+        return (F.least(n, m) >= least * F.greatest(n, m)) & (rest * (1 + least) >= least * (n + m) - 1e-6)
+
+    pairs = met.where((F.col("doc_id") > F.col("first.doc_id")) & fits("n", "first.n", "after", "first.after")).select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b"))
+    checked = written(pairs.distinct(), "checked")
+    found = written(similar_pairs(docs, checked, least, words, id_col, text_col), "links")
+    roots = written(components(known.select("a", "b").unionByName(found)), "roots")
+    placed = met.select("shingle", "doc_id", "n", "after").join(roots, met["doc_id"] == roots["node"], "left").select("shingle", "doc_id", "n", "after", F.coalesce("root", "doc_id").alias("root"))
+    # in each shingle the members of its largest component needn't be compared with each other
+    sizes = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
+    open_ = written(placed.join(sizes.where("parts > 1"), "shingle"), "open")
+    x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "after", "root")), *([] if side == "y" else [F.col("main")])) for side in "xy")
+    more = x.where("root_x <> main").join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & fits("n_x", "n_y", "after_x", "after_y"))
+    more = more.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    return found.unionByName(similar_pairs(docs, more, least, words, id_col, text_col))
+
+
 def likely_pairs(docs: DataFrame, radius: int = 2, shingle: int = 1, id_col: str = "doc_id", text_col: str = "text", segments: int = 2, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of ids, a > b, to be checked: documents that share a fingerprint or have near ones.
 
@@ -202,16 +280,15 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = 0.8, words:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, **options) -> DataFrame:
     """The rows of docs, with all their columns, but of each group only the one with the least id.
 
-    Groups are those of near_groups, and joined with them the pairs of likely_pairs, by
-    fingerprints of single words, that have a Jaccard similarity of at least `least` over shingles
-    of `words` words. Single words catch copies with more edits than shingles do; the check leaves
-    other documents alone. Rows that repeat an id count as one; rows with a null id stay.
+    Groups are those of near_groups, and joined with them all pairs that have a Jaccard similarity
+    of at least `least` over shingles of `words` words. Rows that repeat an id count as one; rows
+    with a null id stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
     strict = near_groups(named, id_col=id_col, text_col=text_col, **options)
-    likely = likely_pairs(named, id_col=id_col, text_col=text_col, **options | {"shingle": 1})
     links = strict.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    roots = components(links.unionByName(similar_pairs(named, likely, least, words, id_col, text_col)))
+    links = written(links.distinct(), "strict")
+    roots = components(links.unionByName(similar_links(named, links, least, words, id_col, text_col, options.get("crowd", CROWD))))
     gone = roots.where("node <> root").select(F.col("node").alias("_gone")).distinct()
     stay = named.join(gone, named[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

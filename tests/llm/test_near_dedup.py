@@ -131,3 +131,35 @@ def test_likely_pairs_link_what_near_groups_groups(spark, documents):
         for own in (i for ids in expected.values() for i in ids):
             found.setdefault(roots.get(own, own), set()).add(own)
         assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_all_pairs_that_are_alike_by_shingles_are_joined(spark):
+    random.seed(11)
+    rows, passage = [], [f"p{i}" for i in range(30)]
+    lines = [[f"l{i}x{j}" for j in range(12)] for i in range(12)]
+    for order in range(4):  # the same words in other orders, so all families have about one fingerprint of single words
+        base = [w for line in random.sample(lines, len(lines)) for w in line]
+        for k in range(6):
+            copy = list(base)
+            for at in random.sample(range(len(copy)), k % 3):
+                copy[at] = f"e{random.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100 + i, " ".join(passage + [f"q{random.randrange(500)}" for _ in range(random.randrange(4, 40))])) for i in range(20)]
+    random.shuffle(rows)
+    docs = make_docs(spark, rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    prints = {i: plain_fingerprint(t, 3) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    expected = sorted(i for i in sets if find(i) == i)
+    assert len(expected) >= 4
+    for crowd in (64, 1):
+        assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs, crowd=crowd).collect()) == expected
