@@ -6,6 +6,11 @@ sample of learning texts. By Nyström's method a text's features are its kernels
 landmarks times the inverse root of the landmarks' own kernel matrix; a kernel ridge regression
 for each language against the rest gives the scores. Texts are scored in batches, by products of
 their presence matrix with the landmarks' and of the kernels with the weights.
+
+A text that is like no landmark has scores near 0, halfway, so they don't tell that its language
+is none of those learned. What tells it is the share of its n-grams that any landmark of its
+language has. How low that is for texts of the language is seen on learning texts that are no
+landmarks.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ SAMPLE = 400
 LANDMARKS = 32
 LANGUAGES = 64
 RIDGE = 1e-2
+#: A text is foreign if the share of its n-grams that its language's landmarks lack is over ROOM times what all but RARE of the language's texts have.
+ROOM, RARE = 2, 0.01
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _FACTOR = np.uint32(2654435769)  # the golden ratio's share of 32 bits, a usual factor for hashing
@@ -53,6 +60,8 @@ class Model:
     landmarks: np.ndarray  # presence, a column for each
     root: np.ndarray
     weights: np.ndarray
+    grams: np.ndarray  # by language, the n-grams that its landmarks have
+    least: np.ndarray  # by language, the least share of a text's n-grams among those
 
     def features(self, flags: np.ndarray) -> np.ndarray:
         rows = flags.astype(np.float32)
@@ -63,6 +72,10 @@ class Model:
     def scores(self, flags: np.ndarray) -> np.ndarray:
         return self.features(flags) @ self.weights
 
+    def familiar(self, flags: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The share of each text's n-grams that the landmarks of its language (of, by number) have."""
+        return (flags.astype(bool) & self.grams[of]).sum(axis=1) / np.maximum(flags.sum(axis=1), 1)
+
 
 def _fit(flags: np.ndarray, langs: list[str], landmarks: int) -> Model:
     languages = sorted(set(langs))
@@ -72,12 +85,16 @@ def _fit(flags: np.ndarray, langs: list[str], landmarks: int) -> Model:
     size = np.sqrt(np.maximum(marks.sum(axis=0), 1))
     values, vectors = np.linalg.eigh((marks.T @ marks / size[:, None] / size).astype(np.float64))
     good = values > 1e-6 * values.max()
-    model = Model(languages, marks, (vectors[:, good] / np.sqrt(values[good])).astype(np.float32), np.zeros(0))
+    model = Model(languages, marks, (vectors[:, good] / np.sqrt(values[good])).astype(np.float32), np.zeros(0), np.stack([flags[chosen[of[chosen] == i]].any(axis=0) for i in range(len(languages))]), np.zeros(len(languages)))
     features = model.features(flags).astype(np.float64)
     target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = 1 / np.bincount(of)[of]  # each language counts as much as any other
     left = (features * share[:, None]).T @ features
     model.weights = np.linalg.solve(left + RIDGE * np.eye(len(left)) * np.trace(left) / len(left), (features * share[:, None]).T @ target).astype(np.float32)
+    others = np.setdiff1d(np.arange(len(of)), chosen)
+    share = model.familiar(flags[others], of[others])
+    for i in np.unique(of[others]):  # a language whose texts are all landmarks takes any text
+        model.least[i] = 1 - ROOM * (1 - np.quantile(share[of[others] == i], RARE))
     return model
 
 
@@ -109,12 +126,13 @@ def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     return _fit(flags, [r["lang"] for r in rows], landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", reject: bool = False) -> DataFrame:
     """docs with two more columns: each text's language and a score from 0 to 1.
 
     The score is half of 1 plus the regression's value for that language, which is near 1 for its
     texts and near -1 for others. A null text, or one without a letter, has the language `und` and
-    score 0, as has every text if there is no model. Other columns are passed on as they are.
+    score 0, as has every text if there is no model. With reject, so has a text too few of whose
+    n-grams its language's landmarks have. Other columns are passed on as they are.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # landmarks * languages columns of WIDTH, whatever the input
 
@@ -130,8 +148,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_n
                         rows.append(flags)
                         where.append(i)
                 if rows:
-                    scores = known.scores(np.stack(rows))
-                    for i, best, value in zip(where, scores.argmax(axis=1), scores.max(axis=1)):
+                    flags = np.stack(rows)
+                    scores = known.scores(flags)
+                    bests = scores.argmax(axis=1)
+                    fits = known.familiar(flags, bests) >= known.least[bests] if reject else np.ones(len(bests), dtype=bool)
+                    for i, best, value in zip(np.array(where)[fits], bests[fits], scores.max(axis=1)[fits]):
                         langs[i], sure[i] = known.languages[best], float(min(max((1 + value) / 2, 0), 1))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
@@ -153,7 +174,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, with all their columns, whose language is identified with at least least_score."""
+    """The rows of docs, with all their columns, whose language is identified, as one of those learned, with at least least_score."""
     model = learn(docs, F.lit(True), id_col, text_col, lang_col)
     lang, score = "_lang_pred", "_lang_score"
-    return predict(docs, model, text_col, lang, score).where((F.col(lang) != NONE) & (F.col(score) >= least_score)).drop(lang, score)
+    return predict(docs, model, text_col, lang, score, reject=True).where((F.col(lang) != NONE) & (F.col(score) >= least_score)).drop(lang, score)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from conftest import ODD, make_docs
@@ -42,3 +43,25 @@ def test_presence_counts_each_gram_once():
     a, b = language_id.present("abc abc abc"), language_id.present("ABC, abc. 123 abc")
     assert (a == b).all()
     assert language_id.present("12 3!") is None
+
+
+def test_texts_in_an_unlearned_language_go_and_held_out_ones_stay(spark):
+    rng = random.Random(4)
+    foreign = [
+        "в начале было слово и люди жили долго на берегу большой реки каждый день они работали в поле",
+        "στην αρχή ήταν ο λόγος και οι άνθρωποι ζούσαν κοντά στο ποτάμι κάθε μέρα δούλευαν",
+        "天 地 玄 黄 宇 宙 洪 荒 日 月 盈 昃 辰 宿 列 张",
+        "alussa oli sana ja ihmiset asuivat suuren joen rannalla joka päivä he työskentelivät pellolla",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)),
+        " ".join("%032x" % rng.getrandbits(128) for _ in range(20)),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and trim(text) <> ''")
+    learned = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    model = language_id.learn(learned, F.lit(True))
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
+    known = language_id.predict(held, model, "text", "guess", "sure", reject=True)
+    assert known.where("guess = 'und'").count() <= language_id.RARE * held.count()
+    odd = learned.unionByName(make_docs(spark, [(10**9 + i, t) for i, t in enumerate(foreign)]).withColumn("lang", F.lit(None).cast("string")).select(*learned.columns))
+    kept = language_id.drop_unidentified(odd)
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.count() >= (1 - language_id.RARE) * learned.count()
