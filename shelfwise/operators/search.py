@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_ratio, normalize_text, trigram_similarity
 
-#: Of a fuzzy search: the least score, and how many candidates (the first by id) are scored.
-FUZZY_LEAST, FUZZY_CANDIDATES = 0.72, 1200
+#: The least score of a fuzzy search.
+FUZZY_LEAST = 0.72
 
 
 def _words(text: Column, least: int = 1) -> Column:
@@ -61,6 +61,7 @@ def fuzzy_search(products: DataFrame, query: str, limit: int = 20, id_col: str =
 
     Candidates contain the first 2 or 3 letters of a word, or all but its last letter. A word is
     compared with the words of the same first letter, if there are any, and a shared beginning adds to the ratio.
+    All candidates are scored, each distinct word once.
     """
     asked = products.sparkSession.range(1).select(normalize_text(F.lit(query)).alias("q")).first()["q"]
     tokens = [w for w in asked.split(" ") if w]
@@ -68,13 +69,13 @@ def fuzzy_search(products: DataFrame, query: str, limit: int = 20, id_col: str =
     rows = products.where(F.length("normalized_name") > 0)
     if parts:
         rows = rows.where(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.col("search_text"), p)))
-    rows = rows.orderBy(id_col).limit(FUZZY_CANDIDATES)
     words = rows.select(id_col, "search_text", F.explode(F.array_distinct(_words(F.col("search_text")))).alias("word"))
-    pairs = words.withColumn("token", F.explode(F.array(*map(F.lit, tokens)))) if tokens else words.withColumn("token", F.lit("")).where("false")
+    kinds = words.select("word").distinct()
+    pairs = kinds.withColumn("token", F.explode(F.array(*map(F.lit, tokens)))) if tokens else kinds.withColumn("token", F.lit("")).where("false")
     both = lambda n: F.substring("word", 1, n) == F.substring("token", 1, n)
     bonus = F.when((F.length("token") >= 3) & both(2), 0.08).otherwise(0.0) + F.when((F.length("token") >= 4) & both(3), 0.08).otherwise(0.0)
     scored = pairs.withColumns({"same": both(1), "score": F.least(ratio(F.col("token"), F.col("word")) + bonus, F.lit(1.0))})
-    best = scored.groupBy(id_col, "search_text", "token").agg(F.coalesce(F.max(F.when(F.col("same"), F.col("score"))), F.max("score")).alias("score"))
+    best = words.join(scored, "word").groupBy(id_col, "search_text", "token").agg(F.coalesce(F.max(F.when(F.col("same"), F.col("score"))), F.max("score")).alias("score"))
     total = best.groupBy(id_col, "search_text").agg(F.avg("score").alias("score"))
     total = total.withColumn("score", F.when(F.contains(F.col("search_text"), F.lit(asked)), 1.0).otherwise(F.col("score")))
     return total.where(F.col("score") >= FUZZY_LEAST).orderBy(F.desc("score"), id_col).limit(limit)

@@ -122,6 +122,12 @@ def test_search(spark):
     assert search.suggest(rows, active, "קוטג", 50).count() == 2
 
 
+def test_fuzzy_search_scores_all_candidates(spark):
+    rows = spark.range(1500).selectExpr("id as canonical_product_id", "'wire' as normalized_name", "concat('wire no', id) as search_text")
+    last = spark.createDataFrame([(9000, "widget", "red widget")], rows.schema)
+    assert [r.canonical_product_id for r in search.fuzzy_search(rows.unionByName(last), "widgt").collect()] == [9000]
+
+
 def test_coverage(spark):
     schema = "chain string, product_id string, name string, brand string, barcode string, unit_dimension string, unit_qty_si double, is_weighable boolean, seq long"
     rows = spark.createDataFrame([
