@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -11,9 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only if Spark runs in one process, as in tests, and none is named, is it a temporary one:
+    executors on other machines wouldn't see what is written there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -28,7 +35,28 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ids_repeat(rows: DataFrame, id_col: str) -> bool:
+    """Whether an id (null too) has more than one row. Reads that column only."""
+    return not rows.groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, nulls equal to each other: the one that, as JSON, comes last in order."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    return rows.groupBy(*keys).agg(F.max_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
 
 
 def whole_text(column: Column | str) -> Column:

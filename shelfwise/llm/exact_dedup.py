@@ -5,7 +5,7 @@ sorted, and a block's place in that order is its integer name. Then the names of
 are paired, the distinct pairs are sorted and named in the same way, and so on, until each
 document has one name. Equal texts, and only they, end with the same name on the same level.
 
-The blocks are sorted by keys of 64 bits of hash, not by their bytes, so that names need no
+The blocks are sorted by keys of 128 bits of hash, not by their bytes, so that names need no
 second shuffle of the texts. That every key stands for one block is not assumed but checked: the
 least and the greatest block of each key must be equal, or all is done again with longer keys.
 """
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, whole_text, written
+from .common import discard, ids_repeat, lower_az, one_of_each, whole_text, written
 
 #: Bytes of a block. Longer texts take one more round of pairs for each doubling.
 BLOCK_BYTES = 16 * 1024
@@ -68,6 +68,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = rows.select("row", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key")).select("row", "n", "pos", "key.*")
     names = _named(parts.select(*keys), "names")
     parts, level, ended = written(parts.join(names, keys).select("row", "n", "pos", "name"), "parts"), 0, []
+    used = [rows, names, parts]
     while True:
         ended.append(parts.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
         more = parts.where("n > 1")
@@ -77,7 +78,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = more.groupBy("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("pos") / 2).cast("int").alias("pos")).agg(first.alias("a"), F.coalesce(second, F.lit(-1)).alias("b"))
         names, level = _named(pairs.select("a", "b"), "names"), level + 1
         parts = written(pairs.join(names, ["a", "b"]).select("row", "n", "pos", "name"), "parts")
+        used += [names, parts]
     identified = written(rows.drop("keys").join(reduce(DataFrame.unionByName, ended), "row"), "identities")
+    discard(*used)
 
     groups = written(identified.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")), "groups")  # apart from the join, so that Spark can split a large group there
     joined = identified.join(groups, ["level", "name"])
@@ -85,8 +88,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns, one of each group."""
+    """The rows of docs that exact_groups keeps, with all their columns, one of each group.
+
+    Of rows that repeat both id and normalised text one stays: the one whose other columns, as JSON,
+    come last in order. Null texts count as empty; an empty table gives an empty result.
+    """
     kept = exact_groups(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     marked = docs.withColumn("_sha", F.sha2(normal_text(text_col), 256))
     stay = marked.join(kept, (marked["_sha"] == kept["_kept_sha"]) & marked[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return stay.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return (one_of_each(stay, [id_col, "_sha"]) if ids_repeat(docs, id_col) else stay).drop("_sha")

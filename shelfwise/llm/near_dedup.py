@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn_share, written
+from .common import discard, drawn_share, ids_repeat, one_of_each, written
 
 BITS = 64
 SEED = 42
@@ -53,8 +53,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     def of(batches):
         for batch in batches:
-            values = [fingerprint(x or b"", shingle) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                values = [fingerprint(x or b"", shingle) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -125,7 +127,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).select("col.*")
-        edges = written(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        discard(before)
         total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(total) == size:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -146,6 +149,7 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str
     roots = written(components(near_pairs(prints, radius, segments, crowd)), "roots")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "classes")
+    discard(roots)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -165,8 +169,10 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
 
     def of(batches):
         for batch in batches:
-            found = [_shingles(text, words) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [_shingles(text, words) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
@@ -214,52 +220,44 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
     """Links (a, b), a > b, of ids whose Jaccard similarity over shingles is at least `least`.
 
     With the links of known, they have the components that known and all such pairs have. Similar
-    sets meet in a shingle of their prefixes. First the least id that a shingle has is checked with
-    its others. Then all pairs that meet in a shingle and aren't in one component yet are checked,
-    so a large group of near copies takes no pairs in the square of its number. Shingles that seem
-    common are the last in the prefixes' order, so that a passage in many texts doesn't bring them
-    together; which those are is estimated, as any order finds the same pairs.
+    sets meet in a shingle of their prefixes. First each shingle's most central row, the one with
+    the largest share of its set from there on, is checked with its others: copies that were
+    edited little are like most of their group. Then all pairs that meet in a shingle and aren't in one
+    component yet are checked, so a large group of near copies takes no pairs in the square of its
+    number. Shingles that seem common are the last in the prefixes' order, so that a passage in
+    many texts doesn't bring them together; which those are is estimated, as any order finds the
+    same pairs.
     """
     sc = docs.sparkSession.sparkContext
     rows = _prefixes(docs, least, words, id_col, text_col, sc.broadcast(_common(docs, words, id_col, text_col, crowd)))
     every = Window.partitionBy("shingle")
-    rows = rows.withColumns({"first": F.min(F.struct("doc_id", "n", "after")).over(every), "last": F.max("doc_id").over(every)}).where(F.col("first.doc_id") < F.col("last"))
-    met = written(rows.select("shingle", "doc_id", "n", "after", "first"), "met")
+    hub = F.max(F.struct(F.col("after") / F.col("n"), "n", "after", "doc_id")).over(every)
+    rows = rows.withColumns({"hub": hub, "least": F.min("doc_id").over(every), "last": F.max("doc_id").over(every)}).where("least < last")
+    met = written(rows.select("shingle", "doc_id", "n", "after", F.struct("hub.doc_id", "hub.n", "hub.after").alias("hub")), "met")
 
     def fits(n: str, m: str, after: str, other: str) -> Column:
         """If sets' sizes and what comes after the shingle in each leave room; the first shingle in common of similar sets does."""
         n, m, rest = F.col(n), F.col(m), F.least(after, other) + 1
         return (F.least(n, m) >= least * F.greatest(n, m)) & (rest * (1 + least) >= least * (n + m) - 1e-6)
 
-    pairs = met.where((F.col("doc_id") > F.col("first.doc_id")) & fits("n", "first.n", "after", "first.after")).select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b"))
-    checked = written(pairs.distinct(), "checked")
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+    pairs = met.where((F.col("doc_id") != F.col("hub.doc_id")) & fits("n", "hub.n", "after", "hub.after"))
+    checked = written(pairs.select(*ordered("doc_id", "hub.doc_id")).distinct(), "checked")
     found = written(similar_pairs(docs, checked, least, words, id_col, text_col), "links")
     roots = written(components(known.select("a", "b").unionByName(found)), "roots")
     placed = met.select("shingle", "doc_id", "n", "after").join(roots, met["doc_id"] == roots["node"], "left").select("shingle", "doc_id", "n", "after", F.coalesce("root", "doc_id").alias("root"))
     # in each shingle the members of its largest component needn't be compared with each other
     sizes = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
     open_ = written(placed.join(sizes.where("parts > 1"), "shingle"), "open")
+    discard(met, roots)
     x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "after", "root")), *([] if side == "y" else [F.col("main")])) for side in "xy")
     more = x.where("root_x <> main").join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & fits("n_x", "n_y", "after_x", "after_y"))
-    more = more.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    more = more.select(*ordered("doc_id_x", "doc_id_y")).distinct().join(checked, ["a", "b"], "left_anti")
     return found.unionByName(similar_pairs(docs, more, least, words, id_col, text_col))
 
 
-def likely_pairs(docs: DataFrame, radius: int = 2, shingle: int = 1, id_col: str = "doc_id", text_col: str = "text", segments: int = 2, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b) of ids, a > b, to be checked: documents that share a fingerprint or have near ones.
-
-    The least id stands for all documents of a fingerprint: it is paired with each of them, and
-    with those that stand for the fingerprints that near_pairs links to its own.
-    """
-    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    first, second = (classes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "ab")
-    near = near_pairs(prints, radius, segments, crowd).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    near = near.join(first, "a").join(second, "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
-    own = prints.join(classes, "fp").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    return near.unionByName(own.distinct())
-
-
 def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) of ids whose documents' Jaccard similarity over shingles is at least `least`.
 
@@ -281,14 +279,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs, with all their columns, but of each group only the one with the least id.
 
     Groups are those of near_groups, and joined with them all pairs that have a Jaccard similarity
-    of at least `least` over shingles of `words` words. Rows that repeat an id count as one; rows
-    with a null id stay.
+    of at least `least` over shingles of `words` words. Rows that repeat both id and text count as
+    one. If ids repeat with other texts, rows are told apart by id and text, so that unlike texts
+    with one id all stay; of a group's rows with the least id, the one whose text has the least
+    hash stays. Rows with a null id stay. Null and blank texts are alike. An empty table gives an
+    empty result.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    strict = near_groups(named, id_col=id_col, text_col=text_col, **options)
+    text_hash = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    repeat = ids_repeat(named, id_col)
+    marked = named.withColumn("_node", F.struct(F.col(id_col).alias("id"), text_hash.alias("text")) if repeat else F.col(id_col))
+    strict = near_groups(marked, id_col="_node", text_col=text_col, **options)
     links = strict.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     links = written(links.distinct(), "strict")
-    roots = components(links.unionByName(similar_links(named, links, least, words, id_col, text_col, options.get("crowd", CROWD))))
+    roots = components(links.unionByName(similar_links(marked, links, least, words, "_node", text_col, options.get("crowd", CROWD))))
     gone = roots.where("node <> root").select(F.col("node").alias("_gone")).distinct()
-    stay = named.join(gone, named[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
+    stay = marked.join(gone, marked["_node"] == gone["_gone"], "left_anti")
+    stay = (one_of_each(stay, ["_node"]) if repeat else stay).drop("_node")
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

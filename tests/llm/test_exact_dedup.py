@@ -49,3 +49,9 @@ def test_drop_keeps_one_row_of_each_group_with_its_columns(odd):
     stay = exact_dedup.drop_exact_copies(odd)
     assert stay.columns == odd.columns
     assert stay.count() == len({(t or "").translate(LOWER) for _, t in ODD})
+
+
+def test_ties_of_one_id_and_text_leave_the_row_that_comes_last(spark):
+    rows = [(1, "A", "en"), (1, "a", "fr"), (1, "a", "de"), (1, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted((r.text, r.lang) for r in exact_dedup.drop_exact_copies(docs).collect()) == [("a", "fr"), ("b", None)]

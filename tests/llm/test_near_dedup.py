@@ -119,18 +119,49 @@ def test_copies_with_edits_go_and_other_documents_stay(spark):
     assert found == {i for i in [*range(1, 9), 200] if len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0])}
 
 
-def test_likely_pairs_link_what_near_groups_groups(spark, documents):
-    expected: dict[int, set[int]] = {}
-    for r in near_dedup.near_groups(documents, shingle=1).collect():
-        expected.setdefault(r.component_id, set()).add(r.doc_id)
+def brute_stay(rows):
+    """The ids that stay, by all pairs: alike by five words at 0.8, or by fingerprints; of texts that are all different."""
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    prints = {i: plain_fingerprint(t, 3) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return [i for i in ids if find(i) == i]
+
+
+def test_what_stays_of_a_whole_table_is_what_brute_force_leaves(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs).collect()) == brute_stay(rows)
+
+
+def test_a_large_group_whose_members_arent_all_alike(spark):
+    random.seed(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in random.sample(range(150), random.randrange(12)):
+            copy[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    random.shuffle(rows)
     for crowd in (64, 1):
-        pairs = near_dedup.likely_pairs(documents, crowd=crowd)
-        assert pairs.where("a <= b").count() == 0
-        roots = {r.node: r.root for r in near_dedup.components(pairs).collect()}
-        found: dict[int, set[int]] = {}
-        for own in (i for ids in expected.values() for i in ids):
-            found.setdefault(roots.get(own, own), set()).add(own)
-        assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+        assert sorted(r.doc_id for r in near_dedup.drop_near_copies(make_docs(spark, rows), crowd=crowd).collect()) == brute_stay(rows)
+
+
+def test_unlike_texts_with_one_id_all_stay(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (1, " ".join(reversed(words))), (1, " ".join(reversed(words))), (2, " ".join([*words[:-1], "other"])), (3, None), (3, None)]
+    stay = sorted((r.doc_id, r.text or "") for r in near_dedup.drop_near_copies(make_docs(spark, rows)).collect())
+    assert stay == [(1, " ".join(words)), (1, " ".join(reversed(words))), (3, "")]
 
 
 def test_all_pairs_that_are_alike_by_shingles_are_joined(spark):
