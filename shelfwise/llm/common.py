@@ -7,6 +7,7 @@ import string
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bitmap(values: DataFrame, bits: int = 24) -> np.ndarray:
+    """A set of 2 ** bits flags for the values of the one column, at their hashes: always so many, however many values.
+
+    What isn't flagged isn't among the values; what is may be. See flagged().
+    """
+    (name,) = values.columns
+    h = F.xxhash64(name)
+    told = values.select(F.shiftrightunsigned(h, 64 - bits + 6).alias("word"), h.alias("h")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("flags")).toArrow()
+    flags = np.zeros(1 << (bits - 6), dtype=np.int64)
+    flags[told.column("word").to_numpy()] = told.column("flags").to_numpy()
+    return flags
+
+
+def flagged(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the values with these hashes (xxhash64 of Spark's) are flagged in a bitmap."""
+    unsigned = hashes.view(np.uint64)
+    words = flags[(unsigned >> np.uint64(64 - len(flags).bit_length() + 1)).astype(np.int64)].view(np.uint64)
+    return (words >> (unsigned & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def ids_repeat(rows: DataFrame, id_col: str) -> bool:
     """Whether an id (null too) has more than one row. Reads that column only."""
     return not rows.groupBy(id_col).count().where("count > 1").isEmpty()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, drawn_share, ids_repeat, one_of_each, written
+from .common import bitmap, discard, drawn_share, flagged, ids_repeat, one_of_each, written
 
 BITS = 64
 SEED = 42
@@ -164,22 +164,30 @@ def _shingles(text: bytes | None, words: int) -> np.ndarray:
     return found
 
 
-def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle."""
+def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle.
+
+    among: ids whose sets are wanted, in one column. A few other rows may have sets then too, as rows are chosen
+    by a bitmap of fixed size, so that texts needn't be shuffled to be joined with the ids.
+    """
+    flags = docs.sparkSession.sparkContext.broadcast(None if among is None else bitmap(among))
 
     def of(batches):
+        wanted = flags.value
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(flagged(wanted, batch.column(2).to_numpy())))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [_shingles(text, words) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(id_col).alias("hash"))
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
 def _prefixes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str, late) -> DataFrame:
-    """doc_id, n (the size of its set), the shingles of each row's prefix, and how many come after each in its set.
+    """doc_id, the shingles of each row's prefix, and place: the size of the row's set, and in the lower 32 bits how many come after the shingle.
 
     Two sets of similarity `least` share at least least * n of either's n shingles, so if shingles
     have one order for all, their first n - ceil(least * n) + 1 have one in common. The order is
@@ -200,12 +208,12 @@ def _prefixes(docs: DataFrame, least: float, words: int, id_col: str, text_col:
                     sizes.append(len(own))
                     found.append(own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1])
                 counts = [len(x) for x in found]
-                rows, n = pa.array(np.repeat(np.arange(part.num_rows), counts)), np.repeat(np.array(sizes, dtype=np.int32), counts)
-                after = n - 1 - np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(n), pa.array(np.concatenate(found)), pa.array(after.astype(np.int32))], names=["doc_id", "n", "shingle", "after"])
+                rows, n = pa.array(np.repeat(np.arange(part.num_rows), counts)), np.repeat(np.array(sizes, dtype=np.int64), counts)
+                after = n - 1 - np.concatenate([np.arange(c) for c in counts])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(found)), pa.array(n << 32 | after)], names=["doc_id", "shingle", "place"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, shingle long, after int")
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingle long, place long")
 
 
 def _common(docs: DataFrame, words: int, id_col: str, text_col: str, crowd: int) -> np.ndarray:
@@ -231,29 +239,30 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
     sc = docs.sparkSession.sparkContext
     rows = _prefixes(docs, least, words, id_col, text_col, sc.broadcast(_common(docs, words, id_col, text_col, crowd)))
     every = Window.partitionBy("shingle")
-    hub = F.max(F.struct(F.col("after") / F.col("n"), "n", "after", "doc_id")).over(every)
+    after, size = (lambda place: F.col(place).bitwiseAND((1 << 32) - 1)), (lambda place: F.shiftright(place, 32))
+    hub = F.max(F.struct(after("place") / size("place"), "place", "doc_id")).over(every)
     rows = rows.withColumns({"hub": hub, "least": F.min("doc_id").over(every), "last": F.max("doc_id").over(every)}).where("least < last")
-    met = written(rows.select("shingle", "doc_id", "n", "after", F.struct("hub.doc_id", "hub.n", "hub.after").alias("hub")), "met")
+    met = written(rows.select("shingle", "doc_id", "place", F.struct("hub.doc_id", "hub.place").alias("hub")), "met")
 
-    def fits(n: str, m: str, after: str, other: str) -> Column:
+    def fits(one: str, other: str) -> Column:
         """If sets' sizes and what comes after the shingle in each leave room; the first shingle in common of similar sets does."""
-        n, m, rest = F.col(n), F.col(m), F.least(after, other) + 1
+        n, m, rest = size(one), size(other), F.least(after(one), after(other)) + 1
         return (F.least(n, m) >= least * F.greatest(n, m)) & (rest * (1 + least) >= least * (n + m) - 1e-6)
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-    pairs = met.where((F.col("doc_id") != F.col("hub.doc_id")) & fits("n", "hub.n", "after", "hub.after"))
+    pairs = met.where((F.col("doc_id") != F.col("hub.doc_id")) & fits("place", "hub.place"))
     checked = written(pairs.select(*ordered("doc_id", "hub.doc_id")).distinct(), "checked")
     found = written(similar_pairs(docs, checked, least, words, id_col, text_col), "links")
     roots = written(components(known.select("a", "b").unionByName(found)), "roots")
-    placed = met.select("shingle", "doc_id", "n", "after").join(roots, met["doc_id"] == roots["node"], "left").select("shingle", "doc_id", "n", "after", F.coalesce("root", "doc_id").alias("root"))
+    placed = met.select("shingle", "doc_id", "place").join(roots, met["doc_id"] == roots["node"], "left").select("shingle", "doc_id", "place", F.coalesce("root", "doc_id").alias("root"))
     # in each shingle the members of its largest component needn't be compared with each other
     sizes = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
     open_ = written(placed.join(sizes.where("parts > 1"), "shingle"), "open")
     discard(met, roots)
-    x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "after", "root")), *([] if side == "y" else [F.col("main")])) for side in "xy")
-    more = x.where("root_x <> main").join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & fits("n_x", "n_y", "after_x", "after_y"))
+    x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "place", "root")), *([] if side == "y" else [F.col("main")])) for side in "xy")
+    more = x.where("root_x <> main").join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & fits("place_x", "place_y"))
     more = more.select(*ordered("doc_id_x", "doc_id_y")).distinct().join(checked, ["a", "b"], "left_anti")
     return found.unionByName(similar_pairs(docs, more, least, words, id_col, text_col))
 
@@ -261,13 +270,12 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
 def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) of ids whose documents' Jaccard similarity over shingles is at least `least`.
 
-    Only documents that are in a pair are read, each once. Sets whose sizes alone rule the
+    Sets are made of documents that are in a pair, each once. Those whose sizes alone rule the
     similarity out aren't brought together.
     """
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    named = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
-    sets = written(shingle_sets(named, words, id_col, text_col).withColumn("n", F.size("shingles")), "shingles")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = written(shingle_sets(docs, words, id_col, text_col, ids).withColumn("n", F.size("shingles")), "shingles")
     sizes = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab"]
     fitting = written(pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")), "fitting")
     joined = fitting.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -293,7 +301,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = strict.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     links = written(links.distinct(), "strict")
     roots = components(links.unionByName(similar_links(marked, links, least, words, "_node", text_col, options.get("crowd", CROWD))))
-    gone = roots.where("node <> root").select(F.col("node").alias("_gone")).distinct()
+    gone = written(roots.where("node <> root").select(F.col("node").alias("_gone")).distinct(), "gone")
     stay = marked.join(gone, marked["_node"] == gone["_gone"], "left_anti")
     stay = (one_of_each(stay, ["_node"]) if repeat else stay).drop("_node")
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
