@@ -15,7 +15,9 @@ gathering from the buffer.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import re
 import unicodedata
 
@@ -68,6 +70,7 @@ class Vocabulary:
         #: For characters that are newer than Python's tables, the words are the library's own.
         self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        self.special_start = os.path.commonprefix(list(self.special))
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.symbols = _byte_symbols()
 
@@ -146,8 +149,9 @@ class Vocabulary:
 
     def _word(self, word: str) -> bytes:
         ids = self._symbols([self.symbols[b] for b in word.encode()])
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
+        if len(self.words) >= REMEMBERED:  # the first half came early, so it has most of the frequent words
+            for late in list(itertools.islice(self.words, REMEMBERED // 2, None)):
+                del self.words[late]
         if len(word) < 64:
             self.words[word] = ids
         return ids
@@ -155,7 +159,7 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         ids, known = [], self.words
-        for part in self.special_pattern.split(text) if "<|" in text else (text,):
+        for part in self.special_pattern.split(text) if self.special and self.special_start in text else (text,):
             if part in self.special:
                 ids.append(np.array([self.special[part]], dtype="<u4").tobytes())
                 continue

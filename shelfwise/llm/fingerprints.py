@@ -15,6 +15,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import partitions, whole_text, written
 
@@ -23,6 +24,8 @@ COUNTER = 21
 MOST_WEIGHT = 31
 #: Terms of a chunk: CHUNK * MOST_WEIGHT is less than 2 ** COUNTER.
 CHUNK = 1 << 16
+#: Ids that bounds of ranges are taken from at most, if they are strings.
+DRAWN = 10_000
 _LANES = 1 | 1 << COUNTER | 1 << 2 * COUNTER
 
 
@@ -70,7 +73,9 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = 3, blocks:
     Permuted block tables: a fingerprint is cut into blocks; two that differ in at most radius
     bits agree in at least blocks - radius whole blocks. There is a table for each choice of so
     many blocks, in which those blocks come first, and a query looks up all fingerprints that
-    begin as it does. Complete distances are then verified. Repeated values count once.
+    begin as it does. Complete distances are then verified. Repeated values count once. A key that
+    many distinct fingerprints share is one of a join's, which Spark splits; each of its rows meets
+    only the queries that begin as it does.
     """
     if blocks <= radius:
         raise ValueError("more blocks than differing bits are needed")
@@ -102,6 +107,19 @@ def _bucket(value: Column, bounds: list) -> Column:
     return among(0, len(bounds))
 
 
+def _bounds(docs: DataFrame, id_col: str, ranges: int) -> list:
+    """Values of the id that cut the rows into about so many ranges of about equal size, in ascending order."""
+    kind = docs.schema[id_col].dataType
+    if ranges < 2:
+        return []
+    if isinstance(kind, StringType):  # quantiles of the ids with the least hashes
+        drawn = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(min(DRAWN, 50 * ranges)).collect()
+        ids = sorted((r["id"] for r in drawn), key=str.encode)
+        return sorted({ids[len(ids) * i // ranges] for i in range(1, ranges)}, key=str.encode) if ids else []
+    shares = [i / ranges for i in range(1, ranges)]
+    return sorted(set(docs.agg(F.percentile_approx(id_col, shares, 4 * ranges)).first()[0] or []))
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 3, buckets: int | None = None) -> DataFrame:
     """Fingerprints of each text and of an edited one, whose end comes from the next document.
 
@@ -109,22 +127,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     next document in descending id order; after the last comes the first. Returns doc_id,
     n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
 
-    Null texts count as empty; a null id comes after all others; rows that repeat an id are
-    ordered by their texts; a single document follows itself. An empty table gives an empty
-    result. Other columns aren't read.
+    Ids are numbers, dates, timestamps or strings, in the order of their own type. Null texts count
+    as empty; a null id comes after all others; rows that repeat an id are ordered by their texts,
+    the greatest first; a single document follows itself. An empty table gives an empty result.
+    Other columns aren't read.
 
-    Ids are cut into ranges of about equal numbers of rows (quantiles, which the driver gets: one
-    number for each range), so the next row is found within a range. A range also gets the first
-    row of the next one. The texts are shuffled once, by range.
+    Ids are cut into ranges of about equal numbers of rows (the driver gets a bound for each range),
+    so the next row is found within a range. A range also gets the first row of the next one. The
+    texts are shuffled once, by range.
     """
-    ranges = buckets or 4 * partitions(docs.sparkSession)
-    shares = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(F.col(id_col).cast("double"), shares, 4 * ranges)).first()[0] if shares else None
-    bounds = sorted(set(found or []))
-    place = F.coalesce(F.lit(len(bounds)) - _bucket(F.col("doc_id").cast("double"), bounds), F.lit(len(bounds)))
+    bounds = _bounds(docs, id_col, buckets or 4 * partitions(docs.sparkSession))
+    place = F.lit(len(bounds)) - _bucket(F.col("doc_id"), bounds) if bounds else F.lit(0)
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(place))
 
-    first = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("at"), "text", "doc_id")).alias("head"))
+    first = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "text")).alias("head"))
     after = Window.orderBy("bucket")  # a row for each range
     ahead = F.coalesce(F.lead("head").over(after), F.first("head").over(after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     borrowed = first.select(F.col("bucket"), ahead.alias("head")).select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), "bucket", F.lit(True).alias("borrowed"))

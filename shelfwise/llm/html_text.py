@@ -1,10 +1,15 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of its block elements. Each paragraph has points for being one, for its
-length and for its commas, and passes them to its ancestors, less with each level. A container's
-score is its points times the share of its text that is not in links. The best container and
-those of its siblings that score like it, or read like text, are kept; if the best one stands in
-an article element, that article is the container.
+length and for its commas, and passes them to its ancestors, less with each level; elements that
+hold nothing but one other don't count as levels, and an article or main element's points count
+twice. A container's score is its points times the share of its text that is not in links. The
+best container and those of its siblings that score like it, or read like text, are kept.
+
+Menus, headers, footers, sidebars, forms and the like are known by their elements, roles and
+classes. A class tells so only if all its words are such words or say nothing, like "cookie-box"
+but unlike "legal-history"; if that leaves a page no text, classes aren't looked at. In the kept
+containers nothing else is dropped. All steps are linear in the page's length, however deep its tree.
 """
 
 from __future__ import annotations
@@ -24,33 +29,49 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: Elements that hold no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option datalist audio video canvas map".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg select option datalist audio video canvas map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that are never part of the main text.
 NOISE = frozenset("nav aside footer form menu dialog search head button fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of a class or id that mark a part of a page as something else than its text.
+#: Words of a class or id that mark a part of a page as something else than its text, and words that say nothing beside them.
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menus submenu header masthead topbar footer foot sidebar aside ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion promoted"
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond"
     " discussion disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar search widget form skip legal disclaimer toc".split()
 )
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons card container content col column div global group home html id in inline inner item items js left link links list main main mobile module more"
+    " note outer page panel post posts primary right row secondary section site slot small sticky text thread title top unit user view wrap wrapper x".split()
+)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPES = frozenset("table ul ol dl div section article main body".split())
 _HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+_PARAGRAPHS = frozenset(["p", "pre", "blockquote", *_HEADINGS])
+#: Levels that points are passed up, at most, and what a level's ancestors get of them.
+_SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15, 1 / 18, 1 / 21)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "noise", "points", "chars", "linked", "seen")
+    __slots__ = ("tag", "parent", "noise", "points", "chars", "linked", "top")
 
     def __init__(self, tag: str, parent: _Node | None, noise: bool) -> None:
         self.tag, self.parent, self.noise = tag, parent, noise
-        self.depth = parent.depth + 1 if parent else 0
-        self.points, self.chars, self.linked, self.seen = 0.0, 0, 0, False
+        self.points, self.chars, self.linked = [0.0] * len(_SHARES), 0, 0
+        self.top: _Node | None = None
 
 
-def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
+def _names_noise(value: str) -> bool:
+    """Whether a class or id is named so that its part isn't text of the page."""
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def _is_noise(tag: str, attributes: str, inside: bool, by_class: bool) -> bool:
     """inside: within an article or main element, where a header holds the headline."""
     if tag in NOISE or tag == "header" and not inside:
         return True
@@ -58,7 +79,7 @@ def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)) and not (inside and tag == "header"):
+        if by_class and name in ("class", "id") and _names_noise(value) and not (inside and tag == "header"):
             return True
         if name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -67,9 +88,30 @@ def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def _blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """The blocks of text of a page in page order: the element each stands in, its text, its characters in links."""
-    node = _Node("html", None, False)
+class _Open:
+    """The elements that are open, each tag's places among them at hand."""
+
+    def __init__(self) -> None:
+        self.nodes, self.places = [_Node("html", None, False)], {"html": [0]}
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element that has one of the tags; -1 if none has."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all within; the outermost one stays open."""
+        while len(self.nodes) > max(place, 1):
+            self.places[self.nodes.pop().tag].pop()
+
+
+def _blocks(page: str, by_class: bool) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """The elements of a page, parents first, and its blocks of text in page order: the element each stands in, its text, its characters in links."""
+    open_ = _Open()
+    every = list(open_.nodes)
     found: list[tuple[_Node, str, int]] = []
     pieces: list[str] = []
     linked = links = 0
@@ -78,8 +120,8 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
-        if text and not node.noise:
-            found.append((node, text, min(linked, len(text))))
+        if text and not open_.nodes[-1].noise:
+            found.append((open_.nodes[-1], text, min(linked, len(text))))
         pieces.clear()
         linked = 0
 
@@ -90,7 +132,6 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         if links:
             linked += len(text)
 
-    inside = 0
     while True:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -113,93 +154,90 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
             links = 0 if closing else 1
         elif tag in BLOCKS or tag == "button":
             flush()
-            links = 0 if tag != "a" and closing else links
+            links = 0 if closing else links
             if closing:
-                above = node
-                while above is not None and above.tag != tag:
-                    if above.tag in ("td", "th", "table") and tag not in _SCOPES and tag not in ("tr", "tbody", "thead", "tfoot"):
-                        above = None
-                        break
-                    above = above.parent
-                if above is not None and above.parent is not None:
-                    while node is not above:
-                        inside -= node.tag in ("article", "main")
-                        node = node.parent
-                    inside -= node.tag in ("article", "main")
-                    node = node.parent
+                place = open_.last([tag])
+                bounded = tag not in _SCOPES and tag not in ("tr", "tbody", "thead", "tfoot")
+                if place > 0 and not (bounded and place < open_.last(("td", "th", "table"))):
+                    open_.close(place)
             elif tag not in VOID:
-                if node.tag == "p" or node.tag in _HEADINGS and tag in _HEADINGS:
-                    node = node.parent
+                if open_.nodes[-1].tag == "p" or open_.nodes[-1].tag in _HEADINGS and tag in _HEADINGS:
+                    open_.close(len(open_.nodes) - 1)
                 elif tag in _CLOSES:
-                    above = node
-                    while above is not None and above.tag not in _CLOSES[tag] and above.tag not in _SCOPES:
-                        above = above.parent
-                    if above is not None and above.tag in _CLOSES[tag]:
-                        node = above.parent
-                        while tag in ("tr", "tbody", "tfoot") and node.tag in _CLOSES[tag]:
-                            node = node.parent
-                node = _Node(tag, node, node.noise or _is_noise(tag, attributes, inside > 0))
-                inside += tag in ("article", "main")
+                    place = open_.last(_CLOSES[tag])
+                    if place > open_.last(_SCOPES - set(_CLOSES[tag])):
+                        open_.close(place)
+                        while tag in ("tr", "tbody", "tfoot") and open_.nodes[-1].tag in _CLOSES[tag] and len(open_.nodes) > 1:
+                            open_.close(len(open_.nodes) - 1)
+                parent = open_.nodes[-1]
+                inside = open_.last(("article", "main")) >= 0
+                node = _Node(tag, parent, parent.noise or _is_noise(tag, attributes, inside, by_class))
+                every.append(node)
+                open_.push(node)
     flush()
-    return found
+    return every, found
 
 
-def _near_text(text: str, linked: int) -> bool:
-    return linked * 2 <= len(text)
+def _score(node: _Node) -> float:
+    points = sum(p * s for p, s in zip(node.points, _SHARES)) * (2 if node.tag in ("article", "main") else 1)
+    return points * (1 - node.linked / node.chars) if node.chars else 0.0
 
 
-def main_text(page: str) -> str:
-    """The blocks of the main text, white space in each made single spaces, joined by newlines; empty if none."""
-    blocks = _blocks(page)
+def _best(every: list[_Node], blocks: list[tuple[_Node, str, int]]) -> _Node | None:
+    """The container with the best score; of equal ones an article, then the outermost."""
     for node, text, linked in blocks:
-        points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else 0.0
-        above, level, share = node if node.tag not in ("p", "pre", "blockquote", *_HEADINGS) else node.parent, 0, 1.0
-        while above is not None:
-            above.points += points * share
-            above.chars, above.linked = above.chars + len(text), above.linked + linked
-            level += 1
-            share = 0.5 if level == 1 else 1 / (3 * level)
-            above = above.parent
-        if above is not node and node.tag in ("p", "pre", "blockquote", *_HEADINGS):
-            node.points += points
-            node.chars, node.linked = node.chars + len(text), node.linked + linked
-    containers = {}
-    for node, _, _ in blocks:
-        above = node if node.tag not in ("p", "pre", "blockquote", *_HEADINGS) else node.parent
-        while above is not None and id(above) not in containers:
-            containers[id(above)] = above
-            above = above.parent
-
-    def score(node: _Node) -> float:
-        return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
-
-    best = max(containers.values(), key=lambda n: (score(n), n.depth), default=None)
+        node.chars, node.linked = node.chars + len(text), node.linked + linked
+        if len(text) >= 25:
+            node.points[0] += 1 + text.count(",") + min(len(text) / 100, 3)
+    for node in reversed(every):  # children before their parents
+        above = node.parent
+        if above is not None and node.chars:
+            above.chars, above.linked = above.chars + node.chars, above.linked + node.linked
+    for node in reversed(every):
+        above = node.parent
+        if above is not None and node.chars:
+            down = 0 if node.tag in _PARAGRAPHS or above.chars == node.chars else 1
+            for level in range(len(_SHARES) - down):
+                above.points[level + down] += node.points[level]
+    best = None
+    for node in every:
+        if node.chars and node.tag not in _PARAGRAPHS and not node.noise:
+            rank = (round(_score(node), 6), node.tag in ("article", "main"))
+            if best is None or rank > best[0]:
+                best = (rank, node)
+    return best and best[1]
+
+
+def _reads_like_text(text: str, linked: int) -> bool:
+    return len(text) >= 80 and linked * 4 < len(text) or not linked and text[-1] in ".!?…"
+
+
+def _kept(every: list[_Node], blocks: list[tuple[_Node, str, int]]) -> list[str]:
+    best = _best(every, blocks)
     if best is None:
-        return ""
-    above = best
-    while above is not None:
-        if above.tag in ("article", "main"):
-            best = above
-            break
-        above = above.parent
-    least = max(10.0, 0.2 * score(best))
+        return []
+    for node in every:  # the best container, or the sibling of it, that a node is in
+        above = node.parent
+        node.top = node if node is best or above is not None and above is best.parent else above.top if above is not None else None
+    least = max(10.0, 0.2 * _score(best))
     kept = []
     for node, text, linked in blocks:
-        below, inner = None, node
-        while inner is not None and inner is not best and inner is not best.parent:
-            below, inner = inner, inner.parent
-        if inner is None:
+        side = node.top
+        if side is best:
+            kept.append(text)
+        elif linked * 2 > len(text):
             continue
-        if inner is best:
-            listed = node.tag not in ("p", "pre", "blockquote", *_HEADINGS) and not _near_text(text, linked)
-            if not listed:
-                kept.append(text)
-        elif below is None:  # text of the parent itself
-            if len(text) >= 80 and _near_text(text, linked):
-                kept.append(text)
-        elif score(below) >= least or below.tag == best.tag == "article" or below.tag in _HEADINGS or below.tag in ("p", "pre", "blockquote") and (len(text) >= 80 and linked * 4 < len(text) or not linked and text[-1] in ".!?…"):
-            if _near_text(text, linked):
+        elif side is None:
+            if node is best.parent and len(text) >= 80:
                 kept.append(text)
+        elif _score(side) >= least or side.tag == best.tag == "article" or side.tag in _HEADINGS or side.tag in _PARAGRAPHS and _reads_like_text(text, linked):
+            kept.append(text)
+    return kept
+
+
+def main_text(page: str) -> str:
+    """The blocks of the main text, white space in each made single spaces, joined by newlines; empty if none."""
+    kept = _kept(*_blocks(page, True)) or _kept(*_blocks(page, False))
     return "\n".join(kept)
 
 

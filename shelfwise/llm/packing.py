@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import _byte_symbols
-from .common import written
+from .common import discard, written
 
 CAPACITY = 1024
 #: Pieces of a partition, on average; how many times as many one has in each further round, and at most.
@@ -35,22 +35,37 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 class _Ids:
-    """Ids of a byte-level vocabulary file of the tokenizers library, by a faster library with the same ids."""
+    """Ids of a vocabulary file of the tokenizers library, by a faster library if the file is of a kind for which that gives the same ids.
+
+    That is so if it is a plain byte-level vocabulary whose merges stand in the order of their results' ids, and
+    no token but single bytes is without a merge.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
+        self.slow, self.fast = Tokenizer.from_file(path), None
+        self.slow.no_padding()
+        self.slow.no_truncation()
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        of_symbol = {s: b for b, s in enumerate(_byte_symbols())}
-        ranks = {bytes(of_symbol[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
-        self.fast = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        self.slow = Tokenizer.from_file(path)
+        model, cut = told["model"], told.get("pre_tokenizer") or {}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", [])]
+        made = [model["vocab"].get(m.replace(" ", "", 1), -1) for m in merges]
+        plain = not told.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain = plain and all(not t[k] for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if plain and made == sorted(made) and {i for t, i in model["vocab"].items() if len(t) > 1 and t not in special} <= set(made):
+            of_symbol = {s: b for b, s in enumerate(_byte_symbols())}
+            ranks = {bytes(of_symbol[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+            self.fast = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
-        try:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
-        except Exception:  # its regular expressions give up on very long runs of white space
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its regular expressions give up on very long runs of white space
+                pass
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -129,11 +144,14 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of pieces with sequence_id and offset: the sequence of each piece and its place there.
+    """The rows of pieces with sequence_id, offset and certified: the sequence of each piece and its place there.
 
     pieces has a column length, from 1 to capacity, and any others (but row, part, fill, bins and
-    bound). Offsets in a sequence run on without gaps from 0. Sequence ids are unique, not gapless. Empty tables
-    give empty results.
+    bound). Offsets in a sequence run on without gaps from 0. Sequence ids are unique, not gapless.
+    certified tells whether no packing of the pieces that were packed with this one has fewer bins,
+    by their partition's bound; full sequences that left a partition before that are certified too,
+    as no packing of their pieces is shorter. Null lengths aren't allowed; rows that repeat are
+    packed each. Empty tables give empty results.
     """
     pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     columns = [c for c in pieces.columns if c != "row"]
@@ -153,10 +171,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
         dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(max(parts, 1))).cast("int"))
         return written(dealt.groupBy("part").applyInPandas(packed, schema), "packed")
 
-    full = pieces.where(F.col("length") == capacity).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.where(F.col("length") == capacity).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = pieces.where(F.col("length") < capacity)
     current, settled = packing(rest, rest.count(), 0), [full]
-    result_columns = [*columns, "sequence_id", "offset"]
+    result_columns = [*columns, "sequence_id", "offset", ((F.col("bins") == F.col("bound")) | (F.col("fill") == capacity)).alias("certified")]
     for seed in range(1, rounds + 1):
         gap = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
         open_rows = current.where(gap)
@@ -165,6 +183,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
             break
         again = packing(open_rows.select(*pieces.columns), n, seed)
         if again.where("offset = 0").count() >= before:
+            discard(again)
             continue
         settled.append(current.where(~gap).select(*result_columns))
         current = again

@@ -134,11 +134,12 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id"
     """A field fitted on a bounded sample: of each label, about sample rows where learn_from holds.
 
     learn_from is a condition on doc_id, the name of the id in this function. Rows are drawn whose
-    hash of the id is in the lowest share that is likely to have sample rows; null labels and ids aren't used, a null text counts as empty, and of the
-    drawn documents those with over sample_lines lines are left out. Without labelled rows there
-    is no model.
+    hash of the id is in the lowest share that is likely to have sample rows; null labels and ids
+    aren't used, of an id's labels the least counts, a null text counts as empty, and of the drawn
+    documents those with over sample_lines lines are left out. Without labelled rows there is no
+    model.
     """
-    usable = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where(learn_from & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).where(learn_from & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
     within = F.lit(False)
     for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect():
         within = within | ((F.col("label") == r["label"]) & drawn_share(F.xxhash64("doc_id"), sample / r["n"]))
@@ -151,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id"
             rows = [(label, line_features(text or b"")[0]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (text or b"").count(b"\n") < sample_lines]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1].tobytes() for x in rows], pa.binary())], names=["label", "lines"])
 
-    rows = sorted((r["label"], bytes(r["lines"])) for r in chosen.select("label", "text").mapInArrow(of, "label int, lines binary").limit(4 * sample).collect())
+    rows = sorted((r["label"], bytes(r["lines"])) for r in chosen.select("label", "text").distinct().mapInArrow(of, "label int, lines binary").collect())
     if not rows:
         return None
     found = [np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES) for _, x in rows]

@@ -26,6 +26,18 @@ def test_edited_texts(spark, odd, buckets):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_ids_of_any_size_and_kind(spark, kind):
+    random.seed(9)
+    own = [2**60 + i for i in range(40)] if kind == "long" else [f"doc-{i:05d}" for i in range(40)] if kind == "string" else [i / 7 for i in range(40)]
+    rows = [(i, " ".join(random.choice("abcdefgh") * random.randint(1, 9) for _ in range(30))) for i in random.sample(own, 40)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    order = sorted(rows, reverse=True)
+    expected = {i: hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest() for (i, t), (_, after) in zip(order, order[1:] + order[:1])}
+    for buckets in (1, 4):
+        assert {r.doc_id: r.edited_sha256 for r in fingerprints.edited_fingerprints(docs, buckets=buckets).collect()} == expected
+
+
 def test_fingerprints_are_the_text_s_own(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     alone = {r.doc_id: r.fp for r in fingerprints.fingerprint_texts(documents).collect()}

@@ -96,5 +96,35 @@ def test_partitions_with_gaps_exchange_documents(spark):
     assert packing.lower_bound(np.array(sizes), 1024) <= bins() < bins(rounds=0)
 
 
+def test_certified_packings_are_optimal(spark):
+    random = np.random.default_rng(5)
+    sizes = random.integers(2, 9, 60).tolist()
+    pieces = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, length long")
+    rows = packing.pack(pieces, capacity=12, part_rows=8, rounds=0).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.certified, {}).setdefault(r.sequence_id, []).append(r.length)
+    assert parts.get(True)
+    own = sorted((s for bin_ in parts[True].values() for s in bin_), reverse=True)
+    assert packing.lower_bound(np.array(own), 12) <= len(parts[True])
+    whole = packing.pack(pieces, capacity=12).collect()
+    if all(r.certified for r in whole):
+        assert len({r.sequence_id for r in whole}) == packing.lower_bound(np.array(sizes), 12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet=" \n\t'sS1a\u00e9\u0660<|endoftx>", max_size=60))
+def test_ids_are_the_library_s(text):
+    encode = Tokenizer.from_file(PATH)
+    assert packing._ids(PATH).fast and packing._ids(PATH)(text).tolist() == encode.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_take_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "Some words, and 12 numbers"
+    assert packing._Ids(path).fast is None and packing._Ids(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing._ids(PATH)(" " * 1_000_000).tolist() == Tokenizer.from_file(PATH).encode(" " * 1_000_000, add_special_tokens=False).ids
+
+
 def test_none(none):
     assert packing.pack(packing.token_pieces(none, PATH)).count() == 0
