@@ -5,7 +5,9 @@ are present in both, divided by the root of the product of their own numbers. La
 sample of learning texts. By Nyström's method a text's features are its kernels with the
 landmarks times the inverse root of the landmarks' own kernel matrix; a kernel ridge regression
 for each language against the rest gives the scores. Texts are scored in batches, by products of
-their presence matrix with the landmarks' and of the kernels with the weights.
+their presence matrix with the landmarks' and of the kernels with the weights. A long text has most
+n-grams, so presence tells little about it: it is scored in pieces of PIECE bytes, and its scores
+are their averages, weighted by their lengths. Learning takes one piece of each sampled text.
 
 A text that is like no landmark has scores near 0, halfway, so they don't tell that its language
 is none of those learned. What tells it is the share of its n-grams that any landmark of its
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 from .common import crc_remainder, drawn_share
 
 NONE = "und"
-#: Numbers of n-gram hashes, of learning texts and of landmarks for each language, of languages (the most frequent).
+#: Numbers of n-gram hashes, and of learning texts and of landmarks for each language.
 WIDTH = 1 << 14
 SAMPLE = 400
 LANDMARKS = 32
-LANGUAGES = 64
+#: Learning texts and landmarks in all; with many languages each has a smaller share of them, but one at least.
+MOST_SAMPLED, MOST_LANDMARKS = 25_600, 2048
+#: Bytes of a piece of a text, and pieces whose presence is held at once.
+PIECE, AT_ONCE = 4096, 512
 RIDGE = 1e-2
 #: A text is foreign if the share of its n-grams that its language's landmarks lack is over ROOM times what all but RARE of the language's texts have.
 ROOM, RARE = 2, 0.01
@@ -39,11 +44,16 @@ _LETTER = re.compile(r"[^\W\d_]")
 _FACTOR = np.uint32(2654435769)  # the golden ratio's share of 32 bits, a usual factor for hashing
 
 
-def present(text: str) -> np.ndarray | None:
-    """The hashes of the n-grams that a whole text has; null if it has no letter."""
+def letters(text: str) -> np.ndarray | None:
+    """The bytes of a text's words in lower case, one space around each; null if it has no letter."""
     if not any(m[0].isalpha() for m in _LETTER.finditer(text)):  # the pattern also has numerals that are no digits
         return None
-    bytes_ = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode(), dtype=np.uint8).astype(np.uint32)
+    return np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode(), dtype=np.uint8)
+
+
+def present(bytes_: np.ndarray) -> np.ndarray:
+    """Which hashes of n-grams a piece of a text has."""
+    bytes_ = bytes_.astype(np.uint32)
     flags = np.zeros(WIDTH, dtype=bool)
     codes = np.zeros(len(bytes_) + 1, dtype=np.uint32)
     for n in range(1, 5):
@@ -54,6 +64,11 @@ def present(text: str) -> np.ndarray | None:
     return flags
 
 
+def pieces(bytes_: np.ndarray) -> list[np.ndarray]:
+    """A text's letters in pieces of about PIECE bytes, all of about one length."""
+    return np.array_split(bytes_, max(1, round(len(bytes_) / PIECE)))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -72,6 +87,19 @@ class Model:
     def scores(self, flags: np.ndarray) -> np.ndarray:
         return self.features(flags) @ self.weights
 
+    def whole(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of whole texts' letters: the scores, the best language (by number), and the share of n-grams that its landmarks have."""
+        cut = [(i, piece) for i, text in enumerate(texts) for piece in pieces(text)]
+        of, sizes = np.array([i for i, _ in cut]), np.array([len(p) for _, p in cut], dtype=np.float64)
+        total = np.bincount(of, weights=sizes)
+        firsts = np.searchsorted(of, np.arange(len(texts)))
+        blocks = [np.stack([np.packbits(present(p)) for _, p in cut[at : at + AT_ONCE]]) for at in range(0, len(cut), AT_ONCE)]
+        scores = np.concatenate([self.scores(np.unpackbits(b, axis=1)) for b in blocks])
+        scores = np.add.reduceat(scores * sizes[:, None], firsts) / total[:, None]
+        bests = scores.argmax(axis=1)
+        shares = np.concatenate([self.familiar(np.unpackbits(b, axis=1), bests[of[k * AT_ONCE : (k + 1) * AT_ONCE]]) for k, b in enumerate(blocks)])
+        return scores, bests, np.add.reduceat(shares * sizes, firsts) / total
+
     def familiar(self, flags: np.ndarray, of: np.ndarray) -> np.ndarray:
         """The share of each text's n-grams that the landmarks of its language (of, by number) have."""
         return (flags.astype(bool) & self.grams[of]).sum(axis=1) / np.maximum(flags.sum(axis=1), 1)
@@ -99,25 +127,30 @@ def _fit(flags: np.ndarray, langs: list[str], landmarks: int) -> Model:
 
 
 def learn(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
-    """A model of the languages in lang_col, from a bounded sample of the rows where learn_from holds.
+    """A model of all languages in lang_col, from a bounded sample of the rows where learn_from holds.
 
-    Of each of the LANGUAGES most frequent languages the rows are drawn whose hash of the id is in
-    the lowest share that is likely to have sample rows, and the first sample of them count. Texts without letters and rows without a language teach nothing; if there is
-    nothing else, there is no model.
+    Of each language the rows are drawn whose hash of the id is in the lowest share that is likely
+    to have sample rows, and the first sample of them count; with over MOST_SAMPLED / sample
+    languages, each has as many rows less. Texts without letters and rows without a language teach
+    nothing; if there is nothing else, there is no model.
     """
     drawn = F.xxhash64(F.col(id_col).cast("string"))
     usable = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), drawn.alias("drawn"), F.col(text_col).alias("text"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    within = F.lit(False)
-    for r in counts:
-        within = within | ((F.col("lang") == r["lang"]) & drawn_share(F.col("drawn"), 1.2 * sample / r["n"]))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return None
+    sample, landmarks = max(1, min(sample, MOST_SAMPLED // len(counts))), max(1, min(landmarks, MOST_LANDMARKS // len(counts)))
+    spark = docs.sparkSession
+    shares = [(lang, int(min(1.2 * sample / n - 0.5, 0.49) * 2**64) if 1.2 * sample < n else 2**63 - 1) for lang, n in counts.items()]
+    usable = usable.join(F.broadcast(spark.createDataFrame(shares, "lang string, most long")), "lang").where("drawn <= most").select("lang", "drawn", "text")
 
     def flagged(batches):
         for batch in batches:
-            found = [(a, b, f) for a, b, t in zip(*(c.to_pylist() for c in batch.columns)) if (f := present(t)) is not None]
+            told = [(a, b, f) for a, b, t in zip(*(c.to_pylist() for c in batch.columns)) if (f := letters(t)) is not None]
+            found = [(a, b, present(own[b % len(own)])) for a, b, own in ((a, b, pieces(f)) for a, b, f in told)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([np.packbits(x[2]).tobytes() for x in found], pa.binary())], names=["lang", "drawn", "flags"])
 
-    rows = sorted(usable.where(within).mapInArrow(flagged, "lang string, drawn long, flags binary").collect())
+    rows = sorted(usable.mapInArrow(flagged, "lang string, drawn long, flags binary").collect())
     if not rows:
         return None
     taken: dict[str, int] = {}
@@ -132,7 +165,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_n
     The score is half of 1 plus the regression's value for that language, which is near 1 for its
     texts and near -1 for others. A null text, or one without a letter, has the language `und` and
     score 0, as has every text if there is no model. With reject, so has a text too few of whose
-    n-grams its language's landmarks have. Other columns are passed on as they are.
+    n-grams its language's landmarks have. All pieces of a text count, however long it is. Other
+    columns are passed on as they are.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # landmarks * languages columns of WIDTH, whatever the input
 
@@ -141,19 +175,13 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_n
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                langs, sure, rows, where = [NONE] * part.num_rows, [0.0] * part.num_rows, [], []
-                for i, text in enumerate(part.column(text_col).to_pylist() if known else ()):
-                    flags = present(text) if text else None
-                    if flags is not None:
-                        rows.append(flags)
-                        where.append(i)
-                if rows:
-                    flags = np.stack(rows)
-                    scores = known.scores(flags)
-                    bests = scores.argmax(axis=1)
-                    fits = known.familiar(flags, bests) >= known.least[bests] if reject else np.ones(len(bests), dtype=bool)
-                    for i, best, value in zip(np.array(where)[fits], bests[fits], scores.max(axis=1)[fits]):
-                        langs[i], sure[i] = known.languages[best], float(min(max((1 + value) / 2, 0), 1))
+                langs, sure = [NONE] * part.num_rows, [0.0] * part.num_rows
+                told = [(i, f) for i, text in enumerate(part.column(text_col).to_pylist() if known else ()) if text and (f := letters(text)) is not None]
+                if told:
+                    scores, bests, share = known.whole([f for _, f in told])
+                    fits = share >= known.least[bests] if reject else np.ones(len(bests), dtype=bool)
+                    for k in np.flatnonzero(fits):
+                        langs[told[k][0]], sure[told[k][0]] = known.languages[bests[k]], float(min(max((1 + scores[k, bests[k]]) / 2, 0), 1))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
