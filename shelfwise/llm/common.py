@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import string
 import tempfile
@@ -41,6 +42,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that have ended; it does so once the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that written() made, once nothing reads them any more."""
     for table in tables:

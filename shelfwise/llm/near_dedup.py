@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, drawn_share, flagged, ids_repeat, one_of_each, written
+from .common import bitmap, discard, drawn_share, flagged, ids_repeat, one_of_each, release, written
 
 BITS = 64
 SEED = 42
@@ -243,6 +243,7 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
     hub = F.max(F.struct(after("place") / size("place"), "place", "doc_id")).over(every)
     rows = rows.withColumns({"hub": hub, "least": F.min("doc_id").over(every), "last": F.max("doc_id").over(every)}).where("least < last")
     met = written(rows.select("shingle", "doc_id", "place", F.struct("hub.doc_id", "hub.place").alias("hub")), "met")
+    release(docs.sparkSession)  # the prefixes' shuffle is the largest
 
     def fits(one: str, other: str) -> Column:
         """If sets' sizes and what comes after the shingle in each leave room; the first shingle in common of similar sets does."""
@@ -254,13 +255,14 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
 
     pairs = met.where((F.col("doc_id") != F.col("hub.doc_id")) & fits("place", "hub.place"))
     checked = written(pairs.select(*ordered("doc_id", "hub.doc_id")).distinct(), "checked")
-    found = written(similar_pairs(docs, checked, least, words, id_col, text_col), "links")
+    found = similar_pairs(docs, checked, least, words, id_col, text_col)
     roots = written(components(known.select("a", "b").unionByName(found)), "roots")
     placed = met.select("shingle", "doc_id", "place").join(roots, met["doc_id"] == roots["node"], "left").select("shingle", "doc_id", "place", F.coalesce("root", "doc_id").alias("root"))
     # in each shingle the members of its largest component needn't be compared with each other
     sizes = placed.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
     open_ = written(placed.join(sizes.where("parts > 1"), "shingle"), "open")
     discard(met, roots)
+    release(docs.sparkSession)
     x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "place", "root")), *([] if side == "y" else [F.col("main")])) for side in "xy")
     more = x.where("root_x <> main").join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & fits("place_x", "place_y"))
     more = more.select(*ordered("doc_id_x", "doc_id_y")).distinct().join(checked, ["a", "b"], "left_anti")
@@ -280,7 +282,10 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = 0.8, words:
     fitting = written(pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")), "fitting")
     joined = fitting.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return joined.where(both >= least * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+    found = written(joined.where(both >= least * (F.col("a_n") + F.col("b_n") - both)).select("a", "b"), "similar")
+    discard(pairs, sets, fitting)
+    release(docs.sparkSession)
+    return found
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5, **options) -> DataFrame:
