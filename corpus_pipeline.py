@@ -14,13 +14,20 @@ from shelfwise.llm import exact_dedup, language_id, near_dedup, packing, quality
 from shelfwise.llm.common import written
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 1000, as 10,000 at once take much of an executor's memory, in both processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an unknown language, or in none, go."""
+    _small_batches(spark)
     return language_id.drop_unidentified(docs)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines are mostly bad go."""
+    _small_batches(spark)
     return quality.drop_bad(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,10 +38,12 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the least id stays: by op3's rule, or alike by five words at 0.8."""
+    _small_batches(spark)
     return near_dedup.drop_near_copies(docs, radius=2, shingle=3, least=0.8, words=5)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 

@@ -35,7 +35,7 @@ LANDMARKS = 32
 #: Learning texts and landmarks in all; with many languages each has a smaller share of them, but one at least.
 MOST_SAMPLED, MOST_LANDMARKS = 25_600, 2048
 #: Bytes of a piece of a text, and pieces whose presence is held at once.
-PIECE, AT_ONCE = 4096, 512
+PIECE, AT_ONCE = 4096, 128
 RIDGE = 1e-2
 #: A text is foreign if the share of its n-grams that its language's landmarks lack is over ROOM times what all but RARE of the language's texts have.
 ROOM, RARE = 2, 0.01
