@@ -60,11 +60,12 @@ def image_or_barcode(url: Column, barcode: Column, base: str, folder: str) -> Co
 
 
 def pick_image(images: Column) -> Column:
-    """Of the primary images the one in the preferred format that isn't a default; else any primary one."""
+    """Of the primary images that have a link and aren't a default the one in the preferred format; else the first of any format."""
     primary = F.filter(images, lambda i: i["imageType"] == "PRIMARY")
-    usable = F.filter(primary, lambda i: i["format"].isin(IMAGE_FORMATS) & (F.coalesce(i["url"], F.lit("")) != "") & ~F.contains(F.lower(i["url"]), F.lit("default")))
+    linked = F.filter(primary, lambda i: (F.coalesce(i["url"], F.lit("")) != "") & ~F.contains(F.lower(i["url"]), F.lit("default")))
+    usable = F.filter(linked, lambda i: i["format"].isin(IMAGE_FORMATS))
     ranked = F.transform(usable, lambda i, n: F.struct(F.array_position(F.array(*map(F.lit, IMAGE_FORMATS)), i["format"]).alias("rank"), n.alias("n"), i["url"].alias("url")))
-    return F.coalesce(F.array_min(ranked)["url"], F.get(primary, F.lit(0))["url"])
+    return F.coalesce(F.array_min(ranked)["url"], F.get(linked, F.lit(0))["url"])
 
 
 def displayable_image(url: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify_offer
+from ..functions.links import product_url
 from ..functions.text import match_key, normalize_barcode, normalize_text, search_text
 
 OFFER_KEY = ["chain", "store_id", "product_id"]
@@ -82,9 +83,45 @@ def best_offer_per_chain(offers: DataFrame, keys: list[str], distance: str | Non
 
 
 def offer_preview(offers: DataFrame, key: str) -> DataFrame:
-    """Of each key: the cheapest price, its chain and store, the number of chains, and whether an offer has a deal."""
-    cheapest = F.min(F.struct("price", "store_id", "product_id", "chain")).alias("best")
-    return offers.groupBy(key).agg(cheapest, F.countDistinct("chain").alias("chain_count")).select(key, F.col("best.price").alias("price"), F.col("best.chain").alias("chain"), F.col("best.store_id").alias("store_id"), "chain_count")
+    """Of each key: the cheapest offer's price, chain, store and what else of PREVIEW there is, whether it has a deal, and the number of chains."""
+    more = [c for c in PREVIEW if c in offers.columns]
+    deal = [F.coalesce(F.col("deal")["has_deal"], F.lit(False)).alias("has_deal")] if "deal" in offers.columns else []
+    best = F.min(F.struct("price", "store_id", "product_id", "chain", *more, *deal)).alias("best")
+    return offers.groupBy(key).agg(best, F.countDistinct("chain").alias("chain_count")).select(key, "best.price", "best.chain", "best.store_id", *(f"best.{c}" for c in more), *(["best.has_deal"] if deal else []), "chain_count")
+
+
+PREVIEW = ["store_name", "image_url", "is_weighable"]
+
+
+def with_labels(rows: DataFrame, chains: DataFrame, name: str = "chain_label") -> DataFrame:
+    """rows with their chain's label, by a join with the small table of chains (chain, label); a chain without one is its own label."""
+    told = chains.select("chain", F.col("label").alias(name))
+    return rows.join(told, "chain", "left").withColumn(name, F.coalesce(name, "chain"))
+
+
+def product_previews(products: DataFrame, offers: DataFrame, chains: DataFrame, id_col: str = "canonical_product_id") -> DataFrame:
+    """Products with an active offer, and their cheapest one: price, chain, its label, store, deal; the image is the offer's if the product has none."""
+    best = with_labels(offer_preview(offers.where("is_active"), id_col), chains)
+    image = [F.coalesce(F.nullif(products["image_url"], F.lit("")), best["image_url"]).alias("image_url")] if "image_url" in products.columns and "image_url" in best.columns else []
+    own = [products[c] for c in products.columns if c not in (id_col, "image_url", "is_weighable")]
+    told = {"price": "cheapest_price", "chain": "cheapest_chain", "chain_label": "cheapest_chain_label", "store_name": "cheapest_store_name"}
+    rest = [best[c].alias(told.get(c, c)) for c in best.columns if c in told or c in ("has_deal", "is_weighable", "chain_count")]
+    return products.join(best, id_col).select(id_col, *own, *image, *rest)
+
+
+def offer_view(offers: DataFrame, chains: DataFrame) -> DataFrame:
+    """Offers with their chain's label, their page's link, and distance (if told) to one decimal."""
+    view = with_labels(offers, chains).withColumn("product_url", product_url(F.col("chain"), F.col("product_id"), F.col("barcode"), F.col("name")))
+    return view.withColumn("distance_km", F.round("distance_km", 1)) if "distance_km" in view.columns else view
+
+
+def list_previews(items: DataFrame, previews: DataFrame, groups: DataFrame) -> DataFrame:
+    """Items with the cheapest price and number of chains of their product, or of their group; those whose product or group has no offer any more are left out."""
+    own = ["list_id", "item_id", F.round("quantity", 3).alias("quantity")]
+    products = items.where("group_key is null").join(previews.select("canonical_product_id", "cheapest_price", "chain_count"), "canonical_product_id")
+    grouped = items.where("group_key is not null").drop("canonical_product_id").join(groups.select("group_key", "cheapest_price", "chain_count"), "group_key")
+    columns = [*own, "cheapest_price", "chain_count"]
+    return products.select(*columns, F.lit(None).cast("string").alias("group_key"), "canonical_product_id").unionByName(grouped.select(*columns, "group_key", F.lit(None).cast(items.schema["canonical_product_id"].dataType).alias("canonical_product_id")))
 
 
 def product_detail(products: DataFrame, offers: DataFrame, branches: DataFrame | None = None) -> DataFrame:

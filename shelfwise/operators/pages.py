@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.deals import deal_from_compare_text
@@ -27,6 +27,7 @@ class _Rows(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rules, self.tables, self.hidden = rules, [], []
         self.row = self.cell = None
+        self.deal, self.button = "", None  # of a deal's button: its description, and what it shows
         self.open: list[tuple[str, bool]] = []
 
     def _is_hidden(self, tag: str, attributes: dict) -> bool:
@@ -44,6 +45,8 @@ class _Rows(HTMLParser):
             self.handle_data("<BR>")
         if tag in ("br", "img", "input", "meta", "link", "hr"):
             return
+        if tag == "button" and self.cell is not None and len(self.row) == 3 and "btn-discount" in (attributes.get("class") or ""):
+            self.deal, self.button = attributes.get("data-discount-desc") or "", []
         self.open.append((tag, self._is_hidden(tag, attributes)))
         if tag == "table" and "results-table" in (attributes.get("class") or ""):
             self.tables.append([])
@@ -57,16 +60,19 @@ class _Rows(HTMLParser):
             if self.open.pop()[0] == tag:
                 break
         if tag == "td" and self.row is not None and self.cell is not None:
-            self.row.append(" ".join(_ZERO_WIDTH.sub("", "".join(self.cell)).split()))
+            shown = (self.button or []) if len(self.row) == 3 else self.cell
+            self.row.append(" ".join(_ZERO_WIDTH.sub("", "".join(shown)).split()))
             self.cell = None
         elif tag == "tr" and self.row is not None:
             if self.row:
-                self.tables[-1].append(self.row)
-            self.row = None
+                self.tables[-1].append([*self.row[:5], self.deal] if len(self.row) >= 5 else self.row)
+            self.row, self.deal, self.button = None, "", None
 
     def handle_data(self, data):
         if self.cell is not None and not any(h for _, h in self.open):
             self.cell.append(data)
+            if self.button is not None and len(self.row) == 3 and any(t == "button" for t, _ in self.open):
+                self.button.append(data)
 
 
 def _rules(page: str) -> list:
@@ -86,7 +92,8 @@ def _rules(page: str) -> list:
 def compare_cells(pages: DataFrame) -> DataFrame:
     """The visible rows of both result tables of each page: the first is of stores, the second of websites.
 
-    Rows with under five cells are left out and counted in skipped.
+    A deal is a button in the fourth cell: its text is the deal's price, and an attribute of it the
+    deal's text. Without a button both are empty. Rows with under five cells are left out and counted in skipped.
     """
 
     def of(frames):
@@ -98,8 +105,8 @@ def compare_cells(pages: DataFrame) -> DataFrame:
                 for kind, table in zip(("physical", "online"), parser.tables):
                     skipped = sum(len(r) < 5 for r in table)
                     good = [r for r in table if len(r) >= 5]
-                    out += [(page_id, kind, i, *r[:5], skipped) for i, r in enumerate(good)]
-            yield pd.DataFrame(out, columns=["page_id", "kind", "row_index", "chain_name", "store_name", "place", "deal_price_text", "row_price_text", "skipped"]).assign(deal_text="")[[x.split()[0] for x in ROWS.split(", ")]]
+                    out += [(page_id, kind, i, *r, skipped) for i, r in enumerate(good)]
+            yield pd.DataFrame(out, columns=["page_id", "kind", "row_index", "chain_name", "store_name", "place", "deal_price_text", "row_price_text", "deal_text", "skipped"])[[x.split()[0] for x in ROWS.split(", ")]]
 
     return pages.select("page_id", "html").mapInPandas(of, ROWS)
 
@@ -119,6 +126,11 @@ def compare_product_rollup(rows: DataFrame, key: str = "page_id") -> DataFrame:
     return found.select(key, "rows", "stores", F.col("low.row_price").alias("cheapest"), F.col("low.store_name").alias("cheapest_store"), F.col("high.row_price").alias("dearest"), F.col("high.store_name").alias("dearest_store"))
 
 
+def rows_by_price(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """The rows of each product with their place, the cheapest first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("row_price", "store_name", "kind", "row_index")))
+
+
 def deal_type_presence(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Of each product the types of its deals, and in how many tables and rows it is; best_products() orders them."""
     found = rows.groupBy(key).agg(F.sort_array(F.collect_set("deal.deal_type")).alias("deal_types"), F.countDistinct("kind").alias("tables"), F.count("*").alias("rows"))
@@ -156,10 +168,13 @@ def id_prefix_counts(ids: DataFrame) -> DataFrame:
 
 
 def page_stats(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of each page its length and the number of ids in it."""
+    """Of each page its status (200 unless the table tells it), its length and the number of ids in it."""
     counts = ids.groupBy("page_id").agg(F.count("*").alias("ids"))
-    return pages.select("page_id", F.length("html").cast("long").alias("length")).join(counts, "page_id", "left").select("page_id", "length", F.coalesce("ids", F.lit(0)).alias("ids"))
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    own = pages.select("page_id", status.alias("status"), F.length("html").cast("long").alias("length"))
+    return own.join(counts, "page_id", "left").select("page_id", "status", "length", F.coalesce("ids", F.lit(0)).alias("ids"))
 
 
 def page_summary(stats: DataFrame) -> DataFrame:
-    return stats.agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count_if("ids = 0").alias("empty_pages"), F.sum("ids").alias("ids"))
+    failed = F.sort_array(F.collect_list(F.when(F.coalesce(F.col("status"), F.lit(0)) != 200, F.col("page_id")))).alias("failed_pages")
+    return stats.agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count_if(F.col("ids") == 0).alias("empty_pages"), F.sum("ids").alias("ids"), failed)

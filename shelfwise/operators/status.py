@@ -82,3 +82,19 @@ def catalog_status(runs: DataFrame, chain_counts: DataFrame, now: Column) -> Dat
     counts = chain_counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("chain", "product_count")))).alias("chains"))
     one = [f.withColumn("_one", F.lit(1)) for f in (last, good, fresh, counts)]
     return one[0].join(one[1], "_one").join(one[2], "_one").join(one[3], "_one").drop("_one")
+
+
+def run_log(results: DataFrame, swapped: Column) -> DataFrame:
+    """A row for each run of results (run_id, kind, chain, rows, error): its status, its chains, and its errors.
+
+    A run is done if its staged rows were swapped in (swapped, a condition on the aggregated row), else failed. Errors are those of
+    its chains, then partial_refresh if some chain failed, and swap_skipped if nothing was swapped.
+    """
+    good = (F.col("rows") > 0) & F.col("error").isNull()
+    sums = results.groupBy("run_id", "kind").agg(
+        F.sort_array(F.collect_set("chain")).alias("chains_requested"), F.sort_array(F.collect_set(F.when(good, F.col("chain")))).alias("chains_succeeded"), F.sort_array(F.collect_set(F.when(~good, F.col("chain")))).alias("chains_failed"),
+        F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "chain", "error")))).alias("told"), F.sum("rows").alias("rows"), F.count_if(~good).alias("failures"),
+    )
+    done = sums.withColumn("swapped", F.coalesce(swapped, F.lit(False)))
+    notes = F.array_compact(F.array(F.when(F.col("failures") > 0, F.lit("partial_refresh")), F.when(~F.col("swapped"), F.lit("swap_skipped"))))
+    return done.select("run_id", "kind", F.when(F.col("swapped"), "done").otherwise("failed").alias("status"), "chains_requested", "chains_succeeded", "chains_failed", F.concat("told", notes).alias("errors"), "rows")

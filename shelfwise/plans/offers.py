@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offers(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """Line items as offers: the supplier is the store, its nation the chain, the part the product."""
-    line, part, supplier, nation = (table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier", "nation"))
+    part, supplier, nation = (table(spark, sf_dir, n) for n in ("part", "supplier", "nation"))
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     rows = line.join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     unit = F.element_at(F.array(*map(F.lit, UNITS)), (F.col("p_partkey") % 5 + 1).cast("int"))
     regular = F.col("l_extendedprice").cast(MONEY)
@@ -49,11 +50,24 @@ def with_deals(rows: DataFrame) -> DataFrame:
 
 
 def latest_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each store and product: the last that came, by aggregation instead of a sort."""
-    rows = offers(spark, sf_dir)
-    own = [c for c in rows.columns if c not in ("store_id", "product_id")]
-    last = rows.groupBy("store_id", "product_id").agg(F.max_by(F.struct(*own), F.struct("scraped_at", "seq")).alias("row"))
-    return last.select("store_id", "product_id", "row.*")
+    """One row for each store and product: the last that came.
+
+    The last is found among line items, before they are joined with products, stores and chains: the
+    aggregate carries their few columns only, and what a query doesn't use isn't made at all.
+    """
+    line = table(spark, sf_dir, "lineitem")
+    own = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+    last = line.groupBy("l_suppkey", "l_partkey").agg(F.max_by(F.struct(*own), F.struct("l_shipdate", F.col("l_orderkey") * 10 + F.col("l_linenumber"))).alias("row"))
+    return offers(spark, sf_dir, last.select("l_suppkey", "l_partkey", "row.*"))
+
+
+def first_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each chain and product: the first that came, found among line items too."""
+    line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    own = ["l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+    keyed = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
+    first = keyed.groupBy("s_nationkey", "l_partkey").agg(F.min_by(F.struct(*own), F.struct("l_shipdate", F.col("l_orderkey") * 10 + F.col("l_linenumber"))).alias("row"))
+    return offers(spark, sf_dir, first.select("l_partkey", "row.*"))
 
 
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +76,8 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth order as a shopping list; of lines with one number the least part and the largest quantity."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0").groupBy(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("item_id"))
+    """Every order as a shopping list; of lines with one number the least part and the largest quantity."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("list_id"), F.col("l_linenumber").alias("item_id"))
     return lines.agg(F.min("l_partkey").alias("canonical_product_id"), F.max("l_quantity").alias("quantity")).withColumn("group_key", F.lit(None).cast("string"))
 
 
@@ -84,7 +98,7 @@ offers AS (SELECT n_name AS chain, l_suppkey AS store_id, s_name AS store_name,
     FROM priced JOIN part p ON l_partkey = p.p_partkey JOIN units u ON u.p_partkey = p.p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 latest AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY scraped_at DESC, seq DESC) AS n FROM offers) WHERE n = 1),
 branches AS (SELECT n_name AS chain, s_suppkey AS store_id, s_name AS store_name, 29.5 + (s_suppkey * 37 % 350) / 100 AS lat, 34.2 + (s_suppkey * 53 % 150) / 100 AS lng FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-list_items AS (SELECT l_orderkey AS list_id, l_linenumber AS item_id, min(l_partkey) AS canonical_product_id, max(l_quantity) AS quantity FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1, 2)"""
+list_items AS (SELECT l_orderkey AS list_id, l_linenumber AS item_id, min(l_partkey) AS canonical_product_id, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2)"""
 DEALS_SQL = """
 deals AS (SELECT *, line % 3 = 0 AS bundle, CASE WHEN line % 3 = 0 THEN CAST(line % 2 + 2 AS INT) ELSE 1 END AS min_qty, line % 3 = 0 OR sale_price IS NOT NULL AS has_deal,
     CASE WHEN line % 3 = 0 THEN CAST(price * CAST(line % 2 + 2 AS INT) * CAST(0.90 AS DECIMAL(3,2)) AS DECIMAL(18,2)) ELSE sale_price END AS deal_price FROM latest)"""

@@ -159,13 +159,14 @@ def test_compare_rows(spark):
 
 
 def test_pages(spark):
-    table = '<table class="results-table"><tr><th>h</th></tr><tr><td>Chain</td><td>St<span data-x="q">hidden</span>ore</td><td>Street 1</td><td>2 ב-15.00</td><td>8.00</td></tr><tr class="display_when_narrow"><td>no</td><td>no</td><td>no</td><td>no</td><td>1</td></tr><tr><td>short</td></tr></table>'
-    online = '<table class="results-table"><tr><td>Chain</td><td>Web</td><td>https://www.shop.co.il/a</td><td>7.50</td><td>9.90</td></tr></table>'
+    table = '<table class="results-table"><tr><th>h</th></tr><tr><td>Chain</td><td>St<span data-x="q">hidden</span>ore</td><td>Street 1</td><td>Deal: <button class="btn btn-discount" data-discount-desc="2 ב-15.00">15<span data-x="q">0</span>.00</button></td><td>8.00</td></tr><tr class="display_when_narrow"><td>no</td><td>no</td><td>no</td><td>no</td><td>1</td></tr><tr><td>short</td></tr></table>'
+    online = '<table class="results-table"><tr><td>Chain</td><td>Web</td><td>https://www.shop.co.il/a</td><td><button class="btn-discount">7.50</button></td><td>9.90</td></tr></table>'
     html = f'<style>span[data-x="q"]{{display:none}}</style>{table}{online}<a href="/p/our_123/45?x=1">p</a><loc>https://s/temp_9%20</loc><a href=\'/z/temp_77\'>t</a>'
     rows = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "x" * 200)], "page_id long, url string, html string")
     found = pages.extract_compare_rows(rows).orderBy("kind").collect()
     assert [(r.kind, r.store_name, r.row_price, r.skipped) for r in found] == [("online", "Web", 9.9, 0), ("physical", "Store", 8.0, 1)]
-    assert found[0].deal.deal_type == "price_reduction"
+    assert (found[0].deal.deal_type, found[1].deal.deal_type, found[1].deal.deal_min_qty) == ("price_reduction", "multi_buy", 2)
+    assert (found[1].deal_text, found[1].deal_price_text, found[0].deal_text) == ("2 ב-15.00", "15.00", "")
     assert sorted(r.product_id for r in pages.extract_product_ids(rows).collect()) == ["our_123", "temp_77"]
     assert [r.page_id for r in checks.obfuscated_pages(rows, long=100).collect()] == [3]
     hidden = spark.createDataFrame([(9, "​" * 201), (10, "&#8203;" * 201), (11, "​" * 200)], "page_id long, html string")
@@ -219,3 +220,18 @@ def test_order_of_rows_changes_nothing(spark, sf_dir, order):
     rows = O.offers(spark, sf_dir).orderBy(F.col("seq") * order).where("seq % 7 = 0")
     last = catalog.last_per_key(rows, ["store_id", "product_id"], ["scraped_at", "seq"])
     assert last.count() == rows.select("store_id", "product_id").distinct().count()
+
+
+def test_the_grid_matches_brute_force(spark):
+    items = [(1, 1, 10), (1, 2, 20), (2, 1, 20), (3, 1, 99)]
+    lines = [(1, 1, "a", 1, 2.0), (1, 2, "a", 2, 3.0), (1, 1, "b", 3, 1.0), (1, 2, "b", 3, 4.0), (2, 1, "a", 1, 5.0)]
+    item_rows = spark.createDataFrame(items, "list_id long, item_id int, canonical_product_id long")
+    line_rows = spark.createDataFrame(lines, "list_id long, item_id int, chain string, store_id long, line_total double")
+    stores, told = {(x[0], x[2], x[3]) for x in lines}, {x[:4]: x[4] for x in lines}
+    expected = sorted((a, b, chain, store, told.get((a, b, chain, store))) for a, b, _ in items for x, chain, store in stores if x == a)
+    key = lambda r: tuple(str(x) for x in r)
+    found = basket.line_grid(line_rows, item_rows).select("list_id", "item_id", "chain", "store_id", "line_total").collect()
+    assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
+    names = item_rows.select("list_id", "item_id", F.concat(F.lit("p"), F.col("canonical_product_id").cast("string")).alias("name"))
+    missing = {(r.list_id, r.store_id): (r.missing, r.missing_names) for r in basket.missing_items(line_rows, item_rows, names).collect()}
+    assert missing == {(1, 1): (1, ["p20"]), (1, 2): (1, ["p10"])}
