@@ -18,6 +18,7 @@ GENERIC_WORDS = ["עם", "ללא", "של", "טרי", "ארוז", "מבצע", "מ
 PUNCTUATION = r"""["'״׳`´,.:;!?()\[\]{}<>|\\/+*=~^%$#@_-]"""
 UNIT_WORDS = {"קג": "kg", "קילו": "kg", "קילוגרם": "kg", "kg": "kg", "גרם": "g", "גר": "g", "g": "g", "מל": "ml", "ml": "ml", "ליטר": "l", "ל": "l", "l": "l"}
 NOISE_WORDS = ["מחיר", "לפי", "משקל", "ארוז", "מארז", "חדש", "יח", "יחידה", "יחידות"]
+NUMBER_AND_UNIT = r"([0-9]+(?:\.[0-9]+)?)\s*(kg|g|ml|l)"
 TOKEN = r"[0-9]+(?:[.,][0-9]+)?|[a-zA-Z֐-׿]+"
 
 
@@ -83,7 +84,7 @@ def tokenize_name(name: Column) -> Column:
 
 
 def quantity_signature(dimension: Column, qty_si: Column, weighable: Column, description: Column) -> Column:
-    number, unit = (F.regexp_extract(normalize_audit_text(description), r"([0-9]+(?:\.[0-9]+)?)\s*(kg|g|ml|l)", i) for i in (1, 2))
+    number, unit = (F.regexp_extract(normalize_audit_text(description), NUMBER_AND_UNIT, i) for i in (1, 2))
     size = F.bround(number.try_cast("double") * F.when(unit.isin("kg", "l"), 1000).otherwise(1)).cast("long").cast("string")
     own = F.when(F.trim(dimension) != "", F.when(F.bround(qty_si) > 0, F.concat(F.trim(dimension), F.lit(":"), F.bround(qty_si).cast("long").cast("string"))))
     told = F.when(number != "", F.concat(F.when(unit.isin("kg", "g"), "mass:").otherwise("volume:"), size))

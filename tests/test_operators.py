@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.deals import DEAL
 from shelfwise.operators import basket, catalog, checks, coverage, filters, pages, search, status
-from shelfwise.operators.tables import Catalog, refresh_prices
+from shelfwise.operators.tables import Catalog, prune, refresh_prices, write_id_catalog, write_json, write_match_matrix, write_products, write_run_summary
 
 OFFER = f"chain string, store_id string, product_id string, canonical_product_id long, price double, regular_price double, is_weighable boolean, unit_qty_si double, unit_dimension string, deal {DEAL}, is_active boolean"
 
@@ -235,3 +235,25 @@ def test_the_grid_matches_brute_force(spark):
     names = item_rows.select("list_id", "item_id", F.concat(F.lit("p"), F.col("canonical_product_id").cast("string")).alias("name"))
     missing = {(r.list_id, r.store_id): (r.missing, r.missing_names) for r in basket.missing_items(line_rows, item_rows, names).collect()}
     assert missing == {(1, 1): (1, ["p20"]), (1, 2): (1, ["p10"])}
+
+
+def test_old_versions_go(spark, tmp_path):
+    tables = Catalog(spark, str(tmp_path / "c"))
+    assert prune(tables) == []
+    for i in range(4):
+        tables.swap(tables.stage({"offers": spark.createDataFrame([(str(i), i)], "chain string, n int")}, f"v{i}"))
+    assert sorted(prune(tables, keep=2)) == ["v0", "v1"] and tables.read("offers").first()["n"] == 3 and tables.read("offers", "v2").count() == 1
+
+
+def test_files_for_other_programs(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1", "p", 1.5), ("a", "2", "q", 2.5), ("b", "1", "p", 3.5)], "chain string, store_id string, product_id string, price double")
+    write_products(rows, f"{tmp_path}/products")
+    assert spark.read.json(f"{tmp_path}/products/chain=a/store_id=2").collect()[0].product_id == "q"
+    write_run_summary(rows, f"{tmp_path}/summary")
+    assert sorted((r.chain, r.products) for r in spark.read.json(f"{tmp_path}/summary").collect()) == [("a", 1), ("a", 1), ("b", 1)]
+    write_json(rows, f"{tmp_path}/all")
+    assert spark.read.json(f"{tmp_path}/all").count() == 3
+    write_match_matrix(rows, f"{tmp_path}/matrix")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/matrix").columns == rows.columns
+    write_id_catalog(rows, rows, rows, f"{tmp_path}/ids")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/ids/ids").collect()) == ["p", "p", "q"]
