@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_text, language_id, language_model, near_dedup, packing, quality, sharding
+from . import bpe, clustering, exact_dedup, fingerprints, html_text, language_id, language_model, near_dedup, packing, quality, ranked_search, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,56 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_shards, op3_near_dedup, op4_bpe, op5_packing, op6_fingerprints, op7_html_text, op8_quality, op9_language_id, op10_exact_dedup)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_shards, op3_near_dedup, op4_bpe, op5_packing, op6_fingerprints, op7_html_text, op8_quality, op9_language_id, op10_exact_dedup, op11_centroids, op13_ranked_search)}
+
+
+
+def _rounds_sql(rounds: int) -> str:
+    """One table of centroids for each round, a row for each component."""
+    step = """
+        d{0} AS MATERIALIZED (SELECT r, cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN c{0} c ON v.i = c.i GROUP BY r, cluster),
+        a{0} AS MATERIALIZED (SELECT r, arg_min(cluster, d * 8 + cluster) AS cluster, min(d) AS distance FROM d{0} GROUP BY r),"""
+    means = """
+        m{0} AS (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM parts JOIN a{0} USING (r) GROUP BY cluster, i),
+        c{1} AS MATERIALIZED (SELECT cluster, i, CASE WHEN s IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{0} LEFT JOIN m{0} USING (cluster, i)),"""
+    return "".join(step.format(i) + (means.format(i, i + 1) if i < rounds else "") for i in range(rounds + 1))
+
 
 ORACLE_SQL = {
+    "op11_centroids": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        parts AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+        named AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster FROM kept),
+        c0 AS MATERIALIZED (SELECT cluster, i, x FROM parts JOIN named USING (r) WHERE cluster < 8),{_rounds_sql(10)}
+        digests AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY cluster)
+        SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM kept JOIN a10 USING (r) JOIN digests USING (cluster)""",
+    "op13_ranked_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        counted AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+        totals AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, totals GROUP BY term, all_docs),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        times AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+            FROM times JOIN weights USING (term) JOIN counted USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20""",
     "op10_exact_dedup": """
         WITH normal AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
