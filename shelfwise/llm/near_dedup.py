@@ -31,6 +31,10 @@ BITS = 64
 SEED = 42
 #: Members of a segment's table entry up to which pairs are verified one by one.
 CROWD = 64
+#: Common shingles that are put last in the order of prefixes, at most: they are broadcast, in 16 bytes each.
+MOST_COMMON = 1 << 16
+#: Rows of a common shingle that are looked at together.
+SHARE_ROWS = 1 << 12
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -154,16 +158,22 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingles(text: bytes | None, words: int) -> np.ndarray:
-    """The distinct hashes of the shingles of a text, in ascending order; fewer words are one shingle."""
+def word_shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text, in ascending order; fewer words are one shingle, none are an empty set."""
     form, digest = b" ".join([b"%b"] * words), xxhash.xxh64_intdigest
     parts = (text or b"").lower().split()
-    own = {digest(form % x, SEED) for x in zip(*(parts[i:] for i in range(words)))} or {digest(b" ".join(parts), SEED)}
+    own = {digest(form % x, SEED) for x in zip(*(parts[i:] for i in range(words)))} or ({digest(b" ".join(parts), SEED)} if parts else set())
     found = np.fromiter(own, dtype=np.uint64, count=len(own)).view(np.int64)
     found.sort()
     return found
 
 
+def _shingles(text: bytes | None, words: int) -> np.ndarray:
+    """word_shingles(), but a text without words has one shingle too, so that such texts are alike."""
+    found = word_shingles(text, words)
+    return found if len(found) else np.array([xxhash.xxh64_intdigest(b"", SEED)], dtype=np.uint64).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
     """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle.
 
@@ -186,63 +196,76 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
-def _prefixes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str, late) -> DataFrame:
-    """doc_id, the shingles of each row's prefix, and place: the size of the row's set, and in the lower 32 bits how many come after the shingle.
+def _prefixes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str, common) -> DataFrame:
+    """doc_id, the shingles of each row's prefix, place: the size of the row's set, and in the lower 32 bits how many come after the shingle, and share.
 
     Two sets of similarity `least` share at least least * n of either's n shingles, so if shingles
     have one order for all, their first n - ceil(least * n) + 1 have one in common. The order is
-    that of the hashes, but those in the broadcast array late come last.
+    that of the hashes, but those in the broadcast array of common come last. A shingle that has several shares
+    there deals its rows to them, numbered from 1; else share is 0.
     """
 
     def of(batches):
-        last = late.value
+        last, shares = common.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found, sizes = [], []
-                for text in part.column(1).to_pylist():
+                found, sizes, dealt = [], [], []
+                for text, drawn in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     own = _shingles(text, words)
+                    parts = np.ones(len(own), dtype=np.int64)
                     if len(last):
-                        is_late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-                        own = np.concatenate([own[~is_late], own[is_late]])
+                        nearest = np.minimum(np.searchsorted(last, own), len(last) - 1)
+                        late = last[nearest] == own
+                        own, parts = np.concatenate([own[~late], own[late]]), np.concatenate([parts[~late], shares[nearest[late]]])
+                    n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
                     sizes.append(len(own))
-                    found.append(own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1])
+                    found.append(own[:n])
+                    dealt.append(np.where(parts[:n] > 1, drawn % parts[:n] + 1, 0))
                 counts = [len(x) for x in found]
                 rows, n = pa.array(np.repeat(np.arange(part.num_rows), counts)), np.repeat(np.array(sizes, dtype=np.int64), counts)
                 after = n - 1 - np.concatenate([np.arange(c) for c in counts])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(found)), pa.array(n << 32 | after)], names=["doc_id", "shingle", "place"])
+                columns = [part.column(0).take(rows), pa.array(np.concatenate(found)), pa.array(n << 32 | after), pa.array(np.concatenate(dealt).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingle", "place", "share"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("drawn"))
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingle long, place long, share int")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingle long, place long")
 
+def _common(docs: DataFrame, words: int, id_col: str, text_col: str, crowd: int, share_rows: int, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of likely over crowd rows, in ascending order, and the number of shares of each, by the rows in an eighth of the ids' hashes.
 
-def _common(docs: DataFrame, words: int, id_col: str, text_col: str, crowd: int) -> np.ndarray:
-    """The shingles of likely over crowd rows, in ascending order, by the rows in an eighth of the ids' hashes."""
+    They are the `most` frequent ones at most, as they are broadcast. Any order of shingles and any number of shares finds the same pairs.
+    """
     drawn = docs.where(drawn_share(F.xxhash64(F.col(id_col).cast("string")), 1 / 8))
     found = shingle_sets(drawn, words, id_col, text_col).select(F.explode("shingles").alias("shingle"))
-    found = found.groupBy("shingle").count().where(F.col("count") > crowd / 8).select("shingle").toArrow()
-    return np.sort(found.column("shingle").to_numpy())
+    found = found.groupBy("shingle").count().where(F.col("count") > crowd / 8).orderBy(F.desc("count"), "shingle").limit(most).toArrow()
+    shingles, counts = found.column("shingle").to_numpy(), found.column("count").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], -(-8 * counts[order] // share_rows)
 
 
-def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, share_rows: int = SHARE_ROWS) -> DataFrame:
     """Links (a, b), a > b, of ids whose Jaccard similarity over shingles is at least `least`.
 
     With the links of known, they have the components that known and all such pairs have. Similar
     sets meet in a shingle of their prefixes. First each shingle's most central row, the one with
     the largest share of its set from there on, is checked with its others: copies that were
-    edited little are like most of their group. Then all pairs that meet in a shingle and aren't in one
+    edited little are like most of their group. A very frequent shingle's rows are dealt into shares of some
+    share_rows rows, so that no task has all of them; each share's central row is checked with its others,
+    and with the most central of all. Then all pairs that meet in a shingle and aren't in one
     component yet are checked, so a large group of near copies takes no pairs in the square of its
     number. Shingles that seem common are the last in the prefixes' order, so that a passage in
     many texts doesn't bring them together; which those are is estimated, as any order finds the
     same pairs.
     """
     sc = docs.sparkSession.sparkContext
-    rows = _prefixes(docs, least, words, id_col, text_col, sc.broadcast(_common(docs, words, id_col, text_col, crowd)))
-    every = Window.partitionBy("shingle")
+    rows = _prefixes(docs, least, words, id_col, text_col, sc.broadcast(_common(docs, words, id_col, text_col, crowd, share_rows)))
+    every = Window.partitionBy("shingle", "share")
     after, size = (lambda place: F.col(place).bitwiseAND((1 << 32) - 1)), (lambda place: F.shiftright(place, 32))
-    hub = F.max(F.struct(after("place") / size("place"), "place", "doc_id")).over(every)
-    rows = rows.withColumns({"hub": hub, "least": F.min("doc_id").over(every), "last": F.max("doc_id").over(every)}).where("least < last")
-    met = written(rows.select("shingle", "doc_id", "place", F.struct("hub.doc_id", "hub.place").alias("hub")), "met")
+    hub = F.max(F.struct((after("place") / size("place")).alias("central"), "place", "doc_id")).over(every)
+    rows = rows.withColumns({"hub": hub, "least": F.min("doc_id").over(every), "last": F.max("doc_id").over(every)}).where("least < last or share > 0")
+    met = written(rows.select("shingle", "doc_id", "place", "share", "hub"), "met")
     release(docs.sparkSession)  # the prefixes' shuffle is the largest
 
     def fits(one: str, other: str) -> Column:
@@ -253,7 +276,9 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-    pairs = met.where((F.col("doc_id") != F.col("hub.doc_id")) & fits("place", "hub.place"))
+    in_shares = met.where((F.col("share") > 0) & (F.col("doc_id") == F.col("hub.doc_id"))).select("shingle", "doc_id", "place", "hub")
+    tops = in_shares.join(in_shares.groupBy("shingle").agg(F.max("hub").alias("top")), "shingle").select("doc_id", "place", F.col("top").alias("hub"))
+    pairs = met.select("doc_id", "place", "hub").unionByName(tops).where((F.col("doc_id") != F.col("hub.doc_id")) & fits("place", "hub.place"))
     checked = written(pairs.select(*ordered("doc_id", "hub.doc_id")).distinct(), "checked")
     found = similar_pairs(docs, checked, least, words, id_col, text_col)
     roots = written(components(known.select("a", "b").unionByName(found)), "roots")
