@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clustering, exact_dedup, fingerprints, html_text, language_id, language_model, near_dedup, packing, quality, ranked_search, sharding
+from . import bpe, clustering, exact_dedup, fingerprints, html_text, language_id, language_model, minhash, near_dedup, packing, quality, ranked_search, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(_table(spark, sf_dir, "documents"), least=0.85, words=3)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_shards, op3_near_dedup, op4_bpe, op5_packing, op6_fingerprints, op7_html_text, op8_quality, op9_language_id, op10_exact_dedup, op11_centroids, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_shards, op3_near_dedup, op4_bpe, op5_packing, op6_fingerprints, op7_html_text, op8_quality, op9_language_id, op10_exact_dedup, op11_centroids, op12_minhash, op13_ranked_search)}
 
 
 
@@ -100,6 +104,19 @@ ORACLE_SQL = {
         SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
                CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
         FROM kept JOIN a10 USING (r) JOIN digests USING (cluster)""",
+    "op12_minhash": r"""
+        WITH RECURSIVE words AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS MATERIALIZED (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (
+            SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)""",
     "op13_ranked_search": r"""
         WITH words AS (
             SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
