@@ -398,8 +398,8 @@ matches AS (SELECT target_chain, reference_id, target_id, 1.0 AS score, 'barcode
     FROM rest LEFT JOIN best USING (target_chain, reference_id) LEFT JOIN lookers USING (target_chain, reference_id))"""
 
 
-def _matches(spark, sf_dir) -> DataFrame:
-    """Two chains' assortment in all others'. Some references have no brand, one that begins otherwise, or one that nobody has."""
+def _matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two chains' assortment, and all others'. Some references have no brand, one that begins otherwise, or one that nobody has."""
     rows = coverage.prepared(_catalogue(spark, sf_dir))
     other = F.when(F.col("product_id") % 7 == 0, "").when(F.col("product_id") % 7 == 1, F.concat(F.lit("new "), "brand_norm")).when(F.col("product_id") % 7 == 2, "zed").otherwise(F.col("brand_norm"))
     anchors = rows.where(F.col("chain").isin(_ANCHORS)).withColumn("brand_norm", other)
@@ -407,7 +407,11 @@ def _matches(spark, sf_dir) -> DataFrame:
     parts = ("code", "exact_key", "brand_norm", "name_norm", "tokens", "qty_sig")
     first = anchors.groupBy(text.reference_key(F.col("code"), F.col("exact_key")).alias("reference_id")).agg(F.min_by(F.struct(*parts), F.struct("scraped_at", "seq")).alias("row"))
     target = rows.where(F.col("chain").isin(_TARGETS)).select("*", F.col("product_id").alias("target_id"), F.col("chain").alias("target_chain"))
-    return coverage.match_catalog(first.select("reference_id", "row.*"), target, _TARGETS)
+    return first.select("reference_id", "row.*"), target
+
+
+def _matches(spark, sf_dir) -> DataFrame:
+    return coverage.match_catalog(*_matched(spark, sf_dir), _TARGETS)
 
 
 @_query(f"""{_FIRSTS}, n AS (SELECT target_chain, reason, count(*) AS n, count(target_id) AS m FROM matches GROUP BY 1, 2) SELECT target_chain, CAST(sum(n) AS BIGINT) AS total, CAST(sum(m) AS BIGINT) AS matched, CAST(sum(n) - sum(m) AS BIGINT) AS missing,
@@ -419,7 +423,7 @@ def coverage_summary(spark, sf_dir):
 
 @_query(f"{_FIRSTS} SELECT target_chain, reference_id, target_id FROM by_code")
 def barcode_matches(spark, sf_dir):
-    return _matches(spark, sf_dir).where("reason = 'barcode'").select("target_chain", "reference_id", "target_id")
+    return coverage.match_barcodes(*_matched(spark, sf_dir))
 
 
 @_query(f"{_FIRSTS} SELECT target_chain, reference_id, target_id, CAST(score AS DOUBLE) AS score, reason FROM matches WHERE reason <> 'barcode'")
