@@ -10,9 +10,10 @@ the rest is confirmed on full sets.
 BANDS and the bound of the estimate are chosen so that of pairs at the least similarity about one in
 10 ** 9 and one in 10 ** 10 is missed. Documents with one and the same set are one class, and are linked as such.
 
-A key that more than CROWD classes share doesn't make them all pairs. Each is checked with the key's
-hub, the class that shares most keys with most others. If after that a key's classes aren't
-in one component, they are joined on the prefixes of their sets, which finds all similar pairs.
+Large groups don't become all pairs. First each class is checked with one other, the most central that it
+meets: the hub of a key is the class that shares most keys with most others. Then those that meet
+and aren't in one component yet are checked: all under a key of up to CROWD classes, else each with the key's hub. If after
+that a crowded key's classes aren't in one component, they are joined on the prefixes of their sets, which finds all similar pairs.
 """
 
 from __future__ import annotations
@@ -148,16 +149,32 @@ def _size_fits(a: str, b: str, least: float) -> Column:
     return F.least(a, b) >= least * F.greatest(a, b)
 
 
-def candidate_pairs(met: DataFrame, least: float, crowd: int) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of classes that meet under a key: all of a key with up to crowd classes, else each with the key's hub. Sizes that rule the similarity out make no pair."""
-    quiet = met.where(F.col("members") <= crowd).select("band", "node", "n")
-    other = quiet.select("band", F.col("node").alias("node_b"), F.col("n").alias("n_b"))
-    pairs = quiet.join(other, "band").where((F.col("node") > F.col("node_b")) & _size_fits("n", "n_b", least)).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    crowds = met.where(F.col("members") > crowd)
-    central = crowds.groupBy("node").agg(F.sum("members").alias("weight"))
-    hubs = crowds.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-    spokes = crowds.join(hubs, "band").where((F.col("node") != F.col("hub.node")) & _size_fits("n", "hub.n", least))
-    return pairs.unionByName(spokes.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))).distinct()
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def hubs_of(met: DataFrame) -> DataFrame:
+    """band and hub (weight, node, n) of each key: the class that shares most keys with most others."""
+    central = met.groupBy("node").agg(F.sum("members").alias("weight"))
+    return met.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+
+
+def first_pairs(met: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """A pair (a, b), a > b, of each class and the hub that shares most keys with most others, of those that it meets and that its size allows: no more pairs than classes."""
+    spokes = met.join(hubs, "band").where((F.col("node") != F.col("hub.node")) & _size_fits("n", "hub.n", least))
+    return spokes.groupBy("node").agg(F.max("hub").alias("hub")).select(*_pair("node", "hub.node")).distinct()
+
+
+def open_pairs(placed: DataFrame, hubs: DataFrame, least: float, crowd: int) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of classes that meet and aren't in one component (root) yet: all of a key with up to crowd classes, else each with the key's hub."""
+    quiet = placed.where(F.col("members") <= crowd).select("band", "node", "n", "root")
+    other = quiet.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "root")))
+    pairs = quiet.join(other, "band").where((F.col("node") > F.col("other_node")) & (F.col("root") != F.col("other_root")) & _size_fits("n", "other_n", least)).select(*_pair("node", "other_node"))
+    crowds = placed.where(F.col("members") > crowd)
+    rooted = crowds.join(hubs, "band")
+    hub_roots = rooted.where(F.col("node") == F.col("hub.node")).select("band", F.col("root").alias("hub_root"))
+    spokes = rooted.join(hub_roots, "band").where((F.col("root") != F.col("hub_root")) & _size_fits("n", "hub.n", least))
+    return pairs.unionByName(spokes.select(*_pair("node", "hub.node"))).distinct()
 
 
 def minhash_groups(docs: DataFrame, least: float = 0.85, words: int = 3, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, rows: int = ROWS, bands: int = BANDS, hashes: int = HASHES, bits: int = BITS) -> DataFrame:
@@ -181,15 +198,24 @@ def minhash_groups(docs: DataFrame, least: float = 0.85, words: int = 3, id_col:
     keyed = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     met = written(keyed.join(shared, "band"), "met")
-    pairs = candidate_pairs(met, least, crowd)
+    hubs = written(hubs_of(met), "hubs")
     sides = [classes.select(F.col("node").alias(c), F.col("planes").alias(f"{c}_planes")) for c in "ab"]
-    differ = differing("a_planes", "b_planes", hashes, bits)
-    likely = written(pairs.join(sides[0], "a").join(sides[1], "b").where(differ <= most_differing(least, hashes, bits)).select("a", "b"), "likely")
-
+    likely = differing("a_planes", "b_planes", hashes, bits) <= most_differing(least, hashes, bits)
     texts = marked.dropDuplicates(["node"]) if repeat else marked
-    links = similar_pairs(texts, likely, least, words, "node", "text")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        estimated_ = pairs.join(sides[0], "a").join(sides[1], "b").where(likely).select("a", "b")
+        return similar_pairs(texts, estimated_, least, words, "node", "text")
+
+    def placed(roots: DataFrame) -> DataFrame:
+        return met.join(roots, "node", "left").select("band", "node", "n", "members", F.coalesce("root", "node").alias("root"))
+
+    links = confirmed(first_pairs(met, hubs, least))
+    before = written(components(links), "roots")
+    links = links.unionByName(confirmed(open_pairs(placed(before), hubs, least, crowd)))
     roots = written(components(links), "roots")
-    crowds = met.where(F.col("members") > crowd).select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    discard(before)
+    crowds = placed(roots).where(F.col("members") > crowd)
     open_ = crowds.groupBy("band").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("band")
     rest = written(crowds.join(open_, "band", "left_semi").select("node").distinct(), "open")
     if not rest.isEmpty():
@@ -197,7 +223,7 @@ def minhash_groups(docs: DataFrame, least: float = 0.85, words: int = 3, id_col:
         links = links.unionByName(similar_links(of_rest, links, least, words, "node", "text", crowd))
         before, roots = roots, written(components(links), "roots")
         discard(before, of_rest)
-    discard(met, likely, rest)
+    discard(met, hubs, rest)
 
     rooted = classes.select("key", "least", "node").join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
