@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.links import progress_percent
+
 #: Hours in which the last good run counts as fresh, and minutes after which a running one has failed.
 FRESH_HOURS, FRESH_DEAL_HOURS, STALE_MINUTES = 24, 4, 30
 
@@ -74,14 +78,30 @@ def refresh_deals_plan(batches: DataFrame) -> DataFrame:
     return batches.groupBy("chain").agg(F.sum("rows").alias("rows"), F.sum("errors").alias("errors")).where("rows > 0 and errors = 0").select("chain")
 
 
-def catalog_status(runs: DataFrame, chain_counts: DataFrame, now: Column) -> DataFrame:
-    """One row: the last run and last good run of each kind, freshness of prices and deals, and all chains' counts."""
+def run_progress(runs: DataFrame, lines: DataFrame, chains: int) -> DataFrame:
+    """Of each run that is running: chains started, fetched and done, products so far, and progress in percent of so many chains.
+
+    lines: (run_id, chain, step, products), step one of started, fetched, done and failed. The products of a chain are the most that a line tells.
+    """
+    steps = lines.groupBy("run_id", "chain").agg(F.max("products").alias("products"), *(F.max(F.col("step").isin(*names)).alias(told) for told, names in (("started", ["started"]), ("fetched", ["fetched", "done", "failed"]), ("done", ["done", "failed"]))))
+    sums = steps.groupBy("run_id").agg(F.sum("products").alias("products"), *(F.count_if(c).alias(f"chains_{c}") for c in ("started", "fetched", "done")))
+    told = runs.where("status = 'running'").join(sums, "run_id", "left").na.fill(0, ["products", "chains_started", "chains_fetched", "chains_done"])
+    counts = [F.least(f"chains_{c}", F.lit(chains)) for c in ("done", "fetched", "started")]
+    return told.select("run_id", "kind", "started_at", "chains_started", "chains_fetched", "chains_done", "products", progress_percent(*counts, F.lit(chains), F.lit(False)).alias("progress_percent"))
+
+
+def catalog_status(runs: DataFrame, chain_counts: DataFrame, now: Column, lines: DataFrame | None = None) -> DataFrame:
+    """One row: the last run and last good run of each kind, freshness of prices and deals, all chains' counts and, with lines, active: the newest running run's progress."""
     last = latest_runs(runs).agg(F.map_from_entries(F.collect_list(F.struct("kind", "status"))).alias("last_status"))
     good = latest_runs(runs, ok_only=True).agg(F.map_from_entries(F.collect_list(F.struct("kind", "finished_at"))).alias("last_success"))
     fresh = catalog_fresh(runs, now).agg(F.map_from_entries(F.collect_list(F.struct("kind", "fresh"))).alias("fresh"))
-    counts = chain_counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("chain", "product_count")))).alias("chains"))
-    one = [f.withColumn("_one", F.lit(1)) for f in (last, good, fresh, counts)]
-    return one[0].join(one[1], "_one").join(one[2], "_one").join(one[3], "_one").drop("_one")
+    counts = chain_counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("chain", "product_count")))).alias("chains"))  # a row for each chain
+    parts = [last, good, fresh, counts]
+    if lines is not None:
+        progress = run_progress(runs, lines, chain_counts.count())
+        parts.append(progress.agg(F.max_by(F.struct(*progress.columns), F.struct("started_at", "run_id")).alias("active")))
+    one = [f.withColumn("_one", F.lit(1)) for f in parts]
+    return reduce(lambda a, b: a.join(b, "_one"), one).drop("_one")
 
 
 def run_log(results: DataFrame, swapped: Column) -> DataFrame:

@@ -8,25 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalog import upsert
-from ..operators.tables import Catalog
+from ..operators.tables import Catalog, upsert_offers
 
 
 def ingest_payloads(stream: DataFrame, catalog: Catalog, normalise: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Upserts each batch of payload rows into the catalogue's offers as a new version, and switches to it.
+    """Upserts each batch of payload rows into the catalogue's offers and groups as a new version, and switches to it.
 
-    A version's name has the batch's number, so a batch that is run again after a failure writes
+    A batch writes the parts that it touches. A version's name has the batch's number, so a batch that is run again after a failure writes
     the same version from the same one before it: nothing is applied twice.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        version, rows = f"batch-{batch_id}", normalise(batch)
-        current = catalog.current()
-        if current == version:
-            return
-        old = catalog.read("offers", current) if current else rows.limit(0)
-        catalog.stage({"offers": upsert(old, rows.select(*old.columns), ["chain", "store_id", "product_id"], ["seq"])}, version)
-        catalog.swap(version)
+        upsert_offers(catalog, normalise(batch), ["seq"], f"batch-{batch_id}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.deals import DEAL
 from shelfwise.operators import basket, catalog, checks, coverage, filters, pages, search, status
-from shelfwise.operators.tables import Catalog, prune, refresh_prices, write_id_catalog, write_json, write_match_matrix, write_products, write_run_summary
+from shelfwise.operators.tables import write_id_catalog, write_json, write_match_matrix, write_products, write_run_summary
 
 OFFER = f"chain string, store_id string, product_id string, canonical_product_id long, price double, regular_price double, is_weighable boolean, unit_qty_si double, unit_dimension string, deal {DEAL}, is_active boolean"
 
@@ -199,20 +199,6 @@ def test_filters(spark):
     assert filters.fresh_branches(branches, rows).count() == 2
 
 
-def test_versions_switch_as_a_whole(spark, tmp_path):
-    tables = Catalog(spark, str(tmp_path / "catalog"))
-    schema = "chain string, store_id string, product_id string, name string, price double, unit_dimension string, unit_qty_si double, is_weighable boolean, seq int"
-    rows = [("a", "1", "x", "סוכר לבן", 5.0, "mass", 1000.0, False, 1), ("a", "1", "x", "סוכר לבן", 4.0, "mass", 1000.0, False, 2), ("b", "1", "y", "סוכר לבן", 6.0, "mass", 1000.0, False, 3)]
-    assert tables.current() is None
-    assert refresh_prices(tables, spark.createDataFrame(rows, schema), all_ok=True)
-    assert sorted(r.price for r in tables.read("offers").collect()) == [4.0, 6.0]
-    (group,) = tables.read("groups").collect()
-    assert (group.cheapest_price, group.offer_count, group.chain_count) == (4.0, 2, 2)
-    first = tables.current()
-    assert not refresh_prices(tables, spark.createDataFrame([], schema), all_ok=False)
-    assert tables.current() == first
-
-
 @pytest.mark.parametrize("order", [1, -1])
 def test_order_of_rows_changes_nothing(spark, sf_dir, order):
     from shelfwise.plans import offers as O
@@ -237,14 +223,6 @@ def test_the_grid_matches_brute_force(spark):
     assert missing == {(1, 1): (1, ["p20"]), (1, 2): (1, ["p10"])}
 
 
-def test_old_versions_go(spark, tmp_path):
-    tables = Catalog(spark, str(tmp_path / "c"))
-    assert prune(tables) == []
-    for i in range(4):
-        tables.swap(tables.stage({"offers": spark.createDataFrame([(str(i), i)], "chain string, n int")}, f"v{i}"))
-    assert sorted(prune(tables, keep=2)) == ["v0", "v1"] and tables.read("offers").first()["n"] == 3 and tables.read("offers", "v2").count() == 1
-
-
 def test_files_for_other_programs(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1", "p", 1.5), ("a", "2", "q", 2.5), ("b", "1", "p", 3.5)], "chain string, store_id string, product_id string, price double")
     write_products(rows, f"{tmp_path}/products")
