@@ -57,23 +57,35 @@ def products_with_offers(products: DataFrame, offers: DataFrame, key: str = "pro
     return products.join(offers.where("is_active").select(key), key, "left_semi")
 
 
-def equivalent_products(products: DataFrame, id_col: str = "canonical_product_id") -> DataFrame:
-    """(id, other): the same barcode, match key, or name, brand, size and dimension; itself too; not transitive.
+#: What makes two products equivalent: one of these is the same in both.
+EQUIVALENCE = {"barcode": ["barcode"], "match_key": ["match_key"], "name": ["name", "normalized_brand", "unit_qty_si", "unit_dimension"]}
 
-    Three equi-joins instead of one with OR. Each goes over the distinct keys, and a key's ids
-    meet only there.
-    """
+
+def equivalence_keys(products: DataFrame, id_col: str = "canonical_product_id") -> DataFrame:
+    """(id, rule, key): the keys by which a product is equivalent to others, and its own id, as rule id. Null sizes and dimensions are equal to each other; null or blank barcodes, keys and names to nothing."""
     own = products.select(F.col(id_col).alias("id"), F.nullif("barcode_digits", F.lit("")).alias("barcode"), "match_key", F.nullif("normalized_name", F.lit("")).alias("name"), "normalized_brand", "unit_qty_si", "unit_dimension")
-    rules = [["barcode"], ["match_key"], ["name", "normalized_brand", "unit_qty_si", "unit_dimension"]]
+    keys = [F.when(F.col(columns[0]).isNotNull(), F.struct(F.lit(rule).alias("rule"), F.to_json(F.struct(*columns)).alias("key"))) for rule, columns in EQUIVALENCE.items()]
+    itself = F.struct(F.lit("id").alias("rule"), F.col("id").cast("string").alias("key"))
+    return own.select("id", F.explode(F.array_compact(F.array(*keys, itself))).alias("_k")).select("id", "_k.*")
+
+
+def equivalence_classes(products: DataFrame, id_col: str = "canonical_product_id") -> DataFrame:
+    """(id, rule, class, size): of each rule that a product has a key for, the least product with that key, and how many have it.
+
+    Two products are equivalent if they share a class of one rule. Members aren't expanded into pairs.
+    """
+    keyed = equivalence_keys(products, id_col).where("rule <> 'id'")
+    classes = keyed.groupBy("rule", "key").agg(F.min("id").alias("class"), F.count("*").alias("size"))
+    return keyed.join(classes, ["rule", "key"]).select("id", "rule", "class", "size")
 
-    def pairs(keys: list[str]) -> DataFrame:
-        # null sizes and dimensions are equal to each other; null barcodes, keys and names to nothing
-        key = F.struct(*(F.col(k) for k in keys))
-        keyed = own.where(F.col(keys[0]).isNotNull()).select("id", F.to_json(key).alias("key"))
-        return keyed.join(keyed.withColumnRenamed("id", "other"), "key").select("id", "other")
 
-    itself = own.select("id", F.col("id").alias("other"))
-    return reduce(DataFrame.unionByName, (pairs(keys) for keys in rules), itself).distinct()
+def equivalent_products(products: DataFrame, id_col: str = "canonical_product_id") -> DataFrame:
+    """(id, other): products that share a key of one of the rules; itself too; not transitive.
+
+    All pairs, for those who want them; equivalence_classes tells the same in one row for each product and rule.
+    """
+    keyed = equivalence_keys(products, id_col)
+    return keyed.join(keyed.withColumnRenamed("id", "other"), ["rule", "key"]).select("id", "other").distinct()
 
 
 def best_offer_per_chain(offers: DataFrame, keys: list[str], distance: str | None = None) -> DataFrame:
@@ -124,12 +136,19 @@ def list_previews(items: DataFrame, previews: DataFrame, groups: DataFrame) -> D
     return products.select(*columns, F.lit(None).cast("string").alias("group_key"), "canonical_product_id").unionByName(grouped.select(*columns, "group_key", F.lit(None).cast(items.schema["canonical_product_id"].dataType).alias("canonical_product_id")))
 
 
-def product_detail(products: DataFrame, offers: DataFrame, branches: DataFrame | None = None) -> DataFrame:
-    """For each product the best offer of each chain among its equivalents' offers, cheapest first."""
-    linked = equivalent_products(products).join(offers.withColumnRenamed("canonical_product_id", "other"), "other")
+def product_detail(products: DataFrame, offers: DataFrame, branches: DataFrame | None = None, id_col: str = "canonical_product_id") -> DataFrame:
+    """For each product the best offer of each chain among its equivalents' offers (cheapest, nearest, least store and product), cheapest first.
+
+    No pair of products is made: offers are reduced to the best of each key and chain, then a product takes the
+    best over its own keys. So a key of very many products has a row for each chain.
+    """
     if branches is not None:
-        linked = linked.join(branches.select("chain", "store_id", "distance_km"), ["chain", "store_id"], "left")
-    best = best_offer_per_chain(linked, ["id"], "distance_km" if branches is not None else None)
+        offers = offers.join(branches.select("chain", "store_id", "distance_km"), ["chain", "store_id"], "left")
+    order = ["price", *([F.coalesce("distance_km", F.lit(float("inf"))).alias("far")] if branches is not None else []), "store_id", "product_id"]
+    keyed = equivalence_keys(products, id_col)
+    offered = keyed.join(offers.withColumnRenamed(id_col, "id"), "id").select("rule", "key", "chain", F.struct(*order).alias("order"), F.struct(*(c for c in offers.columns if c not in (id_col, "chain"))).alias("offer"))
+    of_key = offered.groupBy("rule", "key", "chain").agg(F.min("order").alias("order"), F.min_by("offer", "order").alias("offer"))
+    best = keyed.join(of_key, ["rule", "key"]).groupBy("id", "chain").agg(F.min_by("offer", "order").alias("offer")).select("id", "chain", "offer.*")
     place = F.row_number().over(Window.partitionBy("id").orderBy("price", "chain"))
     return best.withColumn("place", place).withColumn("weighable", F.max("is_weighable").over(Window.partitionBy("id")))
 
@@ -175,6 +194,12 @@ def group_members(offers: DataFrame) -> DataFrame:
     return offers.join(found, same).select(*offers.columns, F.col("_group.key").alias("group_key"), F.col("_group.family").alias("family"), F.col("_group.label").alias("label"))
 
 
+def group_view(groups: DataFrame) -> DataFrame:
+    """Groups as search shows them: a label of group and family where it is blank, the price to two decimals, counts as numbers."""
+    label = F.coalesce(F.nullif("label", F.lit("")), F.replace("group_key", F.lit("|"), F.lit(" ")))
+    return groups.select("group_key", "family", label.alias("label"), F.round(F.col("cheapest_price").cast("double"), 2).alias("cheapest_price"), F.coalesce("offer_count", F.lit(0)).alias("offer_count"), F.coalesce("chain_count", F.lit(0)).alias("chain_count"))
+
+
 def build_groups(members: DataFrame) -> DataFrame:
     """Key, family, label, cheapest price, offers and chains of each group, over all offers, active or not."""
     return members.groupBy("group_key").agg(F.min("family").alias("family"), F.min("label").alias("label"), F.min("price").alias("cheapest_price"), F.count("*").alias("offer_count"), F.countDistinct("chain").alias("chain_count"))

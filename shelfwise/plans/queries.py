@@ -56,7 +56,7 @@ def cheapest_offer_per_chain(spark, sf_dir):
 @_query(f"""{_WITH} SELECT a.product_id, a.price, a.chain, a.store_id, b.chain_count FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, store_id) AS n FROM latest WHERE is_active) a
     JOIN (SELECT product_id, count(DISTINCT chain) AS chain_count FROM latest WHERE is_active GROUP BY 1) b USING (product_id) WHERE n = 1""")
 def offer_preview(spark, sf_dir):
-    return catalog.offer_preview(O.latest_offers(spark, sf_dir).where("is_active"), "product_id")
+    return catalog.offer_preview(O.latest_offers(spark, sf_dir).where("is_active"), "product_id").select("product_id", "price", "chain", "store_id", "chain_count")
 
 
 @_query(f"{_WITH} SELECT store_id, product_id, seq, price FROM latest")
@@ -166,6 +166,25 @@ def equivalents(spark, sf_dir):
     return catalog.equivalent_products(_products(spark, sf_dir))
 
 
+@_query(f"""WITH {_PRODUCTS}, keyed AS (SELECT id, 'barcode' AS rule, barcode AS key FROM products WHERE barcode <> '' UNION ALL SELECT id, 'match_key', 'id:' || id FROM products
+        UNION ALL SELECT id, 'name', name || '|' || brand || '|' || coalesce(CAST(qty AS VARCHAR), '-') FROM products WHERE name <> '')
+    SELECT id, rule, min(id) OVER (PARTITION BY rule, key) AS class, count(*) OVER (PARTITION BY rule, key) AS size FROM keyed""")
+def equivalent_classes(spark, sf_dir):
+    """J-4 without pairs: products that share a class of a rule are equivalent."""
+    return catalog.equivalence_classes(_products(spark, sf_dir))
+
+
+@_query(f"""{_WITH}, {_PRODUCTS}, keyed AS (SELECT id, 'b' AS rule, barcode AS key FROM products WHERE barcode <> '' UNION ALL SELECT id, 'i', CAST(id AS VARCHAR) FROM products
+        UNION ALL SELECT id, 'n', name || '|' || brand || '|' || coalesce(CAST(qty AS VARCHAR), '-') FROM products WHERE name <> ''),
+    linked AS (SELECT DISTINCT a.id, b.id AS other FROM keyed a JOIN keyed b USING (rule, key)),
+    best AS (SELECT id, chain, store_id, product_id, price, is_weighable, row_number() OVER (PARTITION BY id, chain ORDER BY price, store_id, product_id) AS n FROM linked JOIN latest ON product_id = other WHERE is_active)
+    SELECT id, chain, store_id, product_id, price, row_number() OVER (PARTITION BY id ORDER BY price, chain) AS place, max(is_weighable) OVER (PARTITION BY id) AS weighable FROM best WHERE n = 1""")
+def product_detail(spark, sf_dir):
+    """C-8: each product with the best offer of every chain, its equivalents' included."""
+    rows = O.latest_offers(spark, sf_dir).where("is_active").withColumn("canonical_product_id", F.col("product_id"))
+    return catalog.product_detail(_products(spark, sf_dir), rows).select("id", "chain", "store_id", "product_id", "price", "place", "weighable")
+
+
 @_query(f"""{_WITH} SELECT category AS group_key, min(price) AS cheapest_price, count(*) AS offer_count, count(DISTINCT chain) AS chain_count FROM latest WHERE is_active GROUP BY 1 HAVING count(DISTINCT chain) >= 2""")
 def group_search(spark, sf_dir):
     members = O.latest_offers(spark, sf_dir).select("chain", "price", "is_active", F.col("category").alias("group_key"), F.col("category").alias("family"), F.col("category").alias("label"))
