@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import deals, links, text, units
 from ..functions.classify import compatible_key
 from ..operators import basket, catalog, checks, coverage, filters, pages, search, status
+from ..operators.tables import cut
 from . import offers as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,7 +420,7 @@ matches AS (SELECT target_chain, reference_id, target_id, 1.0 AS score, 'barcode
 
 def _matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Two chains' assortment, and all others'. Some references have no brand, one that begins otherwise, or one that nobody has."""
-    rows = coverage.prepared(_catalogue(spark, sf_dir))
+    rows = cut(coverage.prepared(_catalogue(spark, sf_dir)))  # names are normalised once for both
     other = F.when(F.col("product_id") % 7 == 0, "").when(F.col("product_id") % 7 == 1, F.concat(F.lit("new "), "brand_norm")).when(F.col("product_id") % 7 == 2, "zed").otherwise(F.col("brand_norm"))
     anchors = rows.where(F.col("chain").isin(_ANCHORS)).withColumn("brand_norm", other)
     anchors = anchors.withColumn("exact_key", F.concat_ws("|", "brand_norm", F.array_join(F.array_sort("tokens"), " "), "qty_sig"))
