@@ -8,8 +8,9 @@ best container and those of its siblings that score like it, or read like text,
 
 Menus, headers, footers, sidebars, forms and the like are known by their elements, roles and
 classes. A class tells so only if all its words are such words or say nothing, like "cookie-box"
-but unlike "legal-history"; if that leaves a page no text, classes aren't looked at. In the kept
-containers nothing else is dropped. All steps are linear in the page's length, however deep its tree.
+but unlike "cookie-history"; if that leaves a page no text, classes aren't looked at. Forms, and parts with
+a name that articles' parts have too, as "legal" or "toc", are dropped only if their points are few. In the kept
+containers nothing else is dropped. All steps are linear in the page's length, however deep its tree, and however its tags end.
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*+(?:>|\Z) | <(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)> | <(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
-    re.DOTALL | re.VERBOSE,
-)
+_OPENING = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_TAG_PART = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -33,13 +33,18 @@ RAW = frozenset("script style noscript template textarea title iframe object svg
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that are never part of the main text.
-NOISE = frozenset("nav aside footer form menu dialog search head button fieldset".split())
+NOISE = frozenset("nav aside footer menu dialog search head button".split())
+#: Elements and words that mark such a part only if little text is in it.
+WEAK = frozenset("form fieldset".split())
+WEAK_WORDS = frozenset("form skip legal disclaimer toc promotion widget".split())
+#: The points with which a part that is marked so counts as text after all; a form must have that share of the page's points, too.
+WEAK_POINTS, FORM_SHARE = 2.0, 0.5
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of a class or id that mark a part of a page as something else than its text, and words that say nothing beside them.
 NOISE_WORDS = frozenset(
-    "nav navbar navigation menu menus submenu header masthead topbar footer foot sidebar aside ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion promoted"
+    "nav navbar navigation menu menus submenu header masthead topbar footer foot sidebar aside ad ads adv advert adverts advertisement banner sponsor sponsored promo promoted"
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond"
-    " discussion disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar search widget form skip legal disclaimer toc".split()
+    " discussion disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar search".split()
 )
 PLAIN_WORDS = frozenset(
     "area bar block body bottom box button buttons card container content col column div global group home html id in inline inner item items js left link links list main main mobile module more"
@@ -49,43 +54,98 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPES = frozenset("table ul ol dl div section article main body".split())
 _HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 _PARAGRAPHS = frozenset(["p", "pre", "blockquote", *_HEADINGS])
+#: Of a page's tags, how many may be read to the page's end in vain, looking for an end outside of quotes.
+VAIN = 8
 #: Levels that points are passed up, at most, and what a level's ancestors get of them.
 _SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15, 1 / 18, 1 / 21)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "noise", "points", "chars", "linked", "top")
+    __slots__ = ("tag", "parent", "noise", "weak", "points", "chars", "linked", "top")
 
-    def __init__(self, tag: str, parent: _Node | None, noise: bool) -> None:
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: _Node | None, noise: bool, weak: bool = False) -> None:
+        self.tag, self.parent, self.noise, self.weak = tag, parent, noise, weak
         self.points, self.chars, self.linked = [0.0] * len(_SHARES), 0, 0
         self.top: _Node | None = None
 
 
-def _names_noise(value: str) -> bool:
-    """Whether a class or id is named so that its part isn't text of the page."""
+def _names_noise(value: str) -> str:
+    """What a class or id tells of its part: "noise" if it is named as something else than text of the page, "weak" if only weakly so."""
+    told = ""
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
-        if not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words):
-            return True
-    return False
+        if all(w in NOISE_WORDS or w in WEAK_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words):
+            if not NOISE_WORDS.isdisjoint(words):
+                return "noise"
+            if not WEAK_WORDS.isdisjoint(words):
+                told = "weak"
+    return told
 
 
-def _is_noise(tag: str, attributes: str, inside: bool, by_class: bool) -> bool:
-    """inside: within an article or main element, where a header holds the headline."""
+def _is_noise(tag: str, attributes: str, inside: bool, by_class: bool) -> tuple[bool, bool]:
+    """Whether an element is no text of the page, and whether it is weakly marked so. inside: within an article or main element, where a header holds the headline."""
+    weak = tag in WEAK
     if tag in NOISE or tag == "header" and not inside:
-        return True
+        return True, weak
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, weak
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if by_class and name in ("class", "id") and _names_noise(value) and not (inside and tag == "header"):
-            return True
+        if by_class and name in ("class", "id") and not (inside and tag == "header"):
+            told = _names_noise(value)
+            if told == "noise":
+                return True, weak
+            weak = weak or told == "weak"
         if name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, weak
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return True, weak
+    return False, weak
+
+
+class _Markup:
+    """The tags, comments and declarations of a page, one after another, in time linear in its length.
+
+    A tag ends at the first > outside of quotes or, if there is none, at the first > of all; a < that no > follows is text.
+    Looking for one outside of quotes in vain reads the page to its end, so that is done VAIN times at most.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.vain, self.last = page, 0, page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """Where the tag that has its attributes from at ends: after its >."""
+        place = at
+        while self.vain < VAIN:
+            m = _TAG_PART.search(self.page, place)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            place = self.page.find(m[0], m.end()) + 1
+            if not place:
+                break
+        self.vain += 1
+        return self.page.index(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, tag (empty for comments and declarations), whether it closes, and attributes of what comes first from at on."""
+        for m in iter(lambda: _OPENING.search(self.page, at), None):
+            start = m.start()
+            if self.page.startswith("<!--", start):
+                end = self.page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(self.page), "", False, ""
+            if self.page[start + 1] in "!?":
+                end = self.page.find(">", start)
+                return start, end + 1 if end >= 0 else len(self.page), "", False, ""
+            if start > self.last:
+                return None
+            name = _NAME.match(self.page, start)
+            if name is not None:
+                end = self._end(name.end())
+                return start, end, name[2].lower(), bool(name[1]), self.page[name.end() : end - 1]
+            at = start + 1
+        return None
 
 
 class _Open:
@@ -132,18 +192,18 @@ def _blocks(page: str, by_class: bool) -> tuple[list[_Node], list[tuple[_Node, s
         if links:
             linked += len(text)
 
+    markup = _Markup(page)
     while True:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        found_tag = markup.next(at)
+        if found_tag is None:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, end_of_tag, tag, closing, attributes = found_tag
+        if start > at:
+            say(page[at:start])
+        at = end_of_tag
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -171,11 +231,39 @@ def _blocks(page: str, by_class: bool) -> tuple[list[_Node], list[tuple[_Node, s
                             open_.close(len(open_.nodes) - 1)
                 parent = open_.nodes[-1]
                 inside = open_.last(("article", "main")) >= 0
-                node = _Node(tag, parent, parent.noise or _is_noise(tag, attributes, inside, by_class))
+                noise, weak = _is_noise(tag, attributes, inside, by_class)
+                node = _Node(tag, parent, parent.noise or noise, weak)
                 every.append(node)
                 open_.push(node)
     flush()
-    return every, found
+    return every, _without_weak(every, found)
+
+
+def _points(text: str) -> float:
+    """A paragraph's points: for being one, for commas and for length."""
+    return 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else 0.0
+
+
+def _without_weak(every: list[_Node], blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that aren't in a weakly marked part with little text: one whose points, less the share in links, are few; forms must hold much of the page."""
+    if not any(n.weak for n in every):
+        return blocks
+    sums = {id(n): [0.0, 0, 0] for n in every}
+    for node, text, linked in blocks:
+        own = sums[id(node)]
+        own[0], own[1], own[2] = own[0] + _points(text), own[1] + len(text), own[2] + linked
+    for node in reversed(every):
+        if node.parent is not None:
+            own, above = sums[id(node)], sums[id(node.parent)]
+            above[0], above[1], above[2] = above[0] + own[0], above[1] + own[1], above[2] + own[2]
+    whole = sums[id(every[0])][0]
+    for node in every:  # parents first
+        points, chars, linked = sums[id(node)]
+        if node.weak and not node.noise:
+            score = points * (1 - linked / chars) if chars else 0.0
+            node.noise = score < max(WEAK_POINTS, FORM_SHARE * whole if node.tag in WEAK else 0.0)
+        node.noise = node.noise or node.parent is not None and node.parent.noise
+    return [b for b in blocks if not b[0].noise]
 
 
 def _score(node: _Node) -> float:
@@ -187,8 +275,7 @@ def _best(every: list[_Node], blocks: list[tuple[_Node, str, int]]) -> _Node | N
     """The container with the best score; of equal ones an article, then the outermost."""
     for node, text, linked in blocks:
         node.chars, node.linked = node.chars + len(text), node.linked + linked
-        if len(text) >= 25:
-            node.points[0] += 1 + text.count(",") + min(len(text) / 100, 3)
+        node.points[0] += _points(text)
     for node in reversed(every):  # children before their parents
         above = node.parent
         if above is not None and node.chars:

@@ -103,3 +103,25 @@ def test_time_is_linear_in_depth():
 
     took(500)
     assert took(16_000) < 40 * max(took(1_000), 0.005)
+
+
+PROSE = "<p>One long sentence of the article, with commas, and more words, so that it counts.</p><p>Another sentence of it, as long as the first one, and as full of words.</p>"
+
+
+def test_pages_within_a_form_and_weakly_named_parts():
+    assert main_text(f"<body><form action=x><div>{PROSE}</div><input type=hidden></form></body>").count("\n") == 1
+    for name in ("legal", "skip", "toc", "promotion", "legal-content"):
+        page = f"<article>{PROSE}<div class='{name}'>{PROSE.replace('article', 'contract')}</div></article>"
+        assert "contract" in main_text(page), name
+    small = f"<article>{PROSE}<div class=toc><a href=1>First</a> <a href=2>Second chapter of the long text, and its parts</a></div><form><p>Your mail address, please</p></form><div class=comments>{PROSE.replace('article', 'reader')}</div></article>"
+    assert main_text(small).count("\n") == 1
+
+
+def test_time_is_linear_in_broken_pages():
+    import time
+
+    for piece in ("<a ", "<div a='", "<div a=\"x", "<a x='>'", "<!", "</", "<p", "<div a='>", "&", "<b>"):
+        page = piece * (1_000_000 // len(piece)) + "<p>end"
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 10, piece
