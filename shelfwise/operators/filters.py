@@ -31,6 +31,13 @@ def valid_storefront(products: DataFrame) -> DataFrame:
     return products.where(p["branch"]["isActive"] & p["branch"]["isVisible"] & (p["branch"]["regularPrice"] > 0) & name.isNotNull())
 
 
+def priced_storefront(products: DataFrame) -> DataFrame:
+    """A price, if only 0, and a name: what platforms without states of their branches ask of rows of read_storefront_pages."""
+    p = F.col("product")
+    name = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in (p["names"]["1"]["long"], p["names"]["1"]["short"], p["localName"])))
+    return products.where(p["branch"]["regularPrice"].isNotNull() & name.isNotNull())
+
+
 def in_stock(products: DataFrame) -> DataFrame:
     return products.where(~F.coalesce(F.col("product.branch.isOutOfStock"), F.lit(False)))
 

@@ -28,6 +28,8 @@ class _Rows(HTMLParser):
         self.rules, self.tables, self.hidden = rules, [], []
         self.row = self.cell = None
         self.deal, self.button = "", None  # of a deal's button: its description, and what it shows
+        self.hidden_values: dict[str, str] = {}  # of inputs with an id, the first value of each
+        self.heading, self.in_heading, self.in_table = [], None, 0  # the first headline within the first table
         self.open: list[tuple[str, bool]] = []
 
     def _is_hidden(self, tag: str, attributes: dict) -> bool:
@@ -43,6 +45,11 @@ class _Rows(HTMLParser):
         attributes = dict(attrs)
         if tag == "br":
             self.handle_data("<BR>")
+        if tag == "input" and attributes.get("id") and attributes.get("value"):
+            self.hidden_values.setdefault(attributes["id"], attributes["value"])
+        self.in_table += tag == "table"
+        if tag in ("h1", "h2", "h3", "h4") and self.in_table and not self.heading:
+            self.in_heading = tag
         if tag in ("br", "img", "input", "meta", "link", "hr"):
             return
         if tag == "button" and self.cell is not None and len(self.row) == 3 and "btn-discount" in (attributes.get("class") or ""):
@@ -56,6 +63,8 @@ class _Rows(HTMLParser):
             self.cell = []
 
     def handle_endtag(self, tag):
+        if tag == self.in_heading:
+            self.in_heading = None
         while self.open and any(t == tag for t, _ in self.open):
             if self.open.pop()[0] == tag:
                 break
@@ -69,6 +78,8 @@ class _Rows(HTMLParser):
             self.row, self.deal, self.button = None, "", None
 
     def handle_data(self, data):
+        if self.in_heading:
+            self.heading.append(data.replace("<BR>", " "))
         if self.cell is not None and not any(h for _, h in self.open):
             self.cell.append(data)
             if self.button is not None and len(self.row) == 3 and any(t == "button" for t, _ in self.open):
@@ -111,6 +122,46 @@ def compare_cells(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(of, ROWS)
 
 
+#: Fixed ids of the inputs that hold a product's code and name.
+CODE_INPUT, NAME_INPUT = "displayed_product_code", "displayed_product_name_and_contents"
+#: Fixed patterns of a headline's brand and barcode.
+HEADLINE_BRAND, HEADLINE_BARCODE = r"יצרן/מותג[:：]\s*([^,()]+)", r"ברקוד[:：]\s*(\d+)"
+
+
+def compare_products(pages: DataFrame) -> DataFrame:
+    """page_id and what a comparison page tells of its product, null if it doesn't: product_id and name (hidden inputs), brand and barcode (the headline of the first table)."""
+
+    def of(frames):
+        for frame in frames:
+            out = []
+            for page_id, page in zip(frame["page_id"], frame["html"]):
+                parser = _Rows([])
+                parser.feed(page or "")
+                out.append((page_id, parser.hidden_values.get(CODE_INPUT), parser.hidden_values.get(NAME_INPUT), " ".join("".join(parser.heading).split())))
+            yield pd.DataFrame(out, columns=["page_id", "product_id", "name", "headline"])
+
+    found = pages.select("page_id", "html").mapInPandas(of, "page_id long, product_id string, name string, headline string")
+    told = {"brand": F.trim(F.regexp_extract("headline", HEADLINE_BRAND, 1)), "barcode": F.regexp_extract("headline", HEADLINE_BARCODE, 1)}
+    return found.select("page_id", "product_id", F.nullif(F.trim("name"), F.lit("")).alias("name"), *(F.nullif(v, F.lit("")).alias(k) for k, v in told.items()))
+
+
+def with_page_products(items: DataFrame, told: DataFrame) -> DataFrame:
+    """items (page_id, product_id, name, brand, barcode, ...) with what their pages tell, which goes first. A barcode that neither has is that of the id: what follows temp_, or the digits after the first _."""
+    both = items.alias("i").join(told.alias("t"), "page_id", "left")
+    taken = {c: F.coalesce(F.col(f"t.{c}"), F.col(f"i.{c}")) for c in ("product_id", "name", "brand", "barcode")}
+    merged = both.select("page_id", *(taken[c].alias(c) if c in taken else F.col(f"i.{c}") for c in items.columns if c != "page_id"))
+    own = F.regexp_extract("product_id", r"^(?:temp_(.+)|.*)$", 1)
+    digits = F.regexp_extract("product_id", r"^[^_]*_(\d+)$", 1)
+    return merged.withColumn("barcode", F.coalesce("barcode", F.nullif(own, F.lit("")), F.nullif(digits, F.lit("")))).select(*items.columns)
+
+
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows of a comparison page's stores (physical) or of its websites (online)."""
+    if kind not in ("physical", "online"):
+        raise ValueError(kind)
+    return rows.where(F.col("kind") == kind)
+
+
 def extract_compare_rows(pages: DataFrame) -> DataFrame:
     """compare_cells with prices repaired and deals read; rows without a price are left out."""
     cells = compare_cells(pages)
@@ -176,5 +227,16 @@ def page_stats(pages: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def page_summary(stats: DataFrame) -> DataFrame:
-    failed = F.sort_array(F.collect_list(F.when(F.coalesce(F.col("status"), F.lit(0)) != 200, F.col("page_id")))).alias("failed_pages")
-    return stats.agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count_if(F.col("ids") == 0).alias("empty_pages"), F.sum("ids").alias("ids"), failed)
+    """One row: pages, the first and last, how many are empty or failed (status not 200), and ids. failed_ranges tells which failed."""
+    failed = F.coalesce(F.col("status"), F.lit(0)) != 200
+    return stats.agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count_if(F.col("ids") == 0).alias("empty_pages"), F.sum("ids").alias("ids"), F.count_if(failed).alias("failed"))
+
+
+def failed_ranges(stats: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """The pages that failed as runs of successive ids: first_page, last_page, pages.
+
+    Ids are taken in spans, each in one task; a run over a span's end is told as two, so no row and no task grows with the table.
+    """
+    failed = stats.where(F.coalesce(F.col("status"), F.lit(0)) != 200).select("page_id").distinct().withColumn("_span", F.floor(F.col("page_id") / span))
+    run = F.col("page_id") - F.row_number().over(Window.partitionBy("_span").orderBy("page_id"))
+    return failed.withColumn("_run", run).groupBy("_span", "_run").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.count("*").alias("pages")).drop("_span", "_run")

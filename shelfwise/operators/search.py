@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ratio, normalize_text, trigram_similarity
+from ..functions.text import char_ratio, normalize_text, trigram_similarity, trigrams
 
 #: The least score of a fuzzy search.
 FUZZY_LEAST = 0.72
@@ -56,6 +56,29 @@ def search_many(products: DataFrame, queries: DataFrame, id_col: str = "canonica
     return candidates.join(texts, id_col).where(F.size(F.array_except("words", "own")) == 0).select("query_id", id_col)
 
 
+def similar_many(products: DataFrame, queries: DataFrame, least: float = 0.3, id_col: str = "canonical_product_id", text_col: str = "search_text") -> DataFrame:
+    """(query_id, product, similarity): the products whose text has a trigram similarity of at least `least` to a query (query_id, query), for many queries at once.
+
+    An inverted table of trigrams finds them. A text that is so similar shares at least least * n of a query's n trigrams, so it has
+    one of any n - ceil(least * n) + 1: the rarest ones are looked up. It has between least * n and n / least trigrams itself. What
+    is found is verified on all trigrams. Queries of equal texts are looked up once; one without a letter or digit finds nothing.
+    """
+    grams = products.select(F.col(id_col).alias("id"), trigrams(F.col(text_col)).alias("own")).withColumn("size", F.size("own"))
+    postings = grams.select("id", "size", F.explode("own").alias("gram"))
+    asked = queries.select("query_id", normalize_text(F.col("query")).alias("asked"))
+    texts = asked.select("asked").distinct().withColumn("grams", trigrams(F.col("asked"))).where(F.size("grams") > 0)
+    frequent = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    counted = texts.select("asked", "grams", F.explode("grams").alias("gram")).join(frequent, "gram", "left")
+    ranked = counted.groupBy("asked").agg(F.first("grams").alias("grams"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda x: x["gram"]).alias("rarest"))
+    n = F.size("grams")
+    probes = ranked.select("asked", "grams", F.explode(F.slice("rarest", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("gram"))
+    fits = (F.col("size") >= least * n - 1e-9) & (F.col("size") * least <= n + 1e-9)
+    met = probes.join(postings, "gram").where(fits).select("asked", "grams", "id").distinct()
+    shared = F.size(F.array_intersect("grams", "own"))
+    scored = met.join(grams, "id").withColumn("similarity", shared / (n + F.col("size") - shared)).where(F.col("similarity") >= least)
+    return asked.join(scored, "asked").select("query_id", F.col("id").alias(id_col), F.round("similarity", 6).alias("similarity"))
+
+
 def fuzzy_search(products: DataFrame, query: str, limit: int = 20, id_col: str = "canonical_product_id", ratio=char_ratio) -> DataFrame:
     """Products whose words are like the query's: the mean over its words of the best ratio is at least 0.72.
 

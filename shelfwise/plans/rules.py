@@ -385,7 +385,48 @@ def failed_pages(spark, sf_dir):
     """A-14."""
     k = c("page_id")
     p = O.table(spark, sf_dir, "pages").withColumn("status", F.when(k % 13 == 0, 404).when(k % 29 == 0, None).otherwise(200))
-    return pages.page_summary(pages.page_stats(p, pages.links(p))).select("pages", "first_page", "last_page", F.array_join("failed_pages", ",").alias("failed_pages"))
+    stats = pages.page_stats(p, pages.links(p))
+    failed = stats.where("coalesce(status, 0) <> 200").agg(F.array_join(F.sort_array(F.collect_list("page_id")), ",").alias("failed_pages"))  # asked for as one text
+    return pages.page_summary(stats).join(failed).select("pages", "first_page", "last_page", "failed_pages")
+
+
+@_query("""WITH f AS (SELECT page_id, page_id // 64 AS span FROM pages WHERE page_id % 13 = 0 OR page_id % 29 = 0 OR page_id % 40 < 7), r AS (SELECT *, page_id - row_number() OVER (PARTITION BY span ORDER BY page_id) AS run FROM f)
+    SELECT min(page_id) AS first_page, max(page_id) AS last_page, count(*) AS pages FROM r GROUP BY span, run""")
+def failed_page_ranges(spark, sf_dir):
+    """A-14: runs of failed pages, here in spans of 64 ids."""
+    k = c("page_id")
+    p = O.table(spark, sf_dir, "pages").withColumn("status", F.when((k % 13 == 0) | (k % 40 < 7), 404).when(k % 29 == 0, None).otherwise(200))
+    return pages.failed_ranges(pages.page_stats(p, pages.links(p)), span=64)
+
+
+@_query(f"""{_MEMBERS} SELECT group_key, family, CAST(round(CAST(min(price) AS DOUBLE), 2) AS DOUBLE) AS cheapest_price, count(*) AS offer_count, count(DISTINCT chain) AS chain_count FROM members GROUP BY 1, 2""")
+def group_views(spark, sf_dir):
+    """N-14."""
+    return catalog.group_view(catalog.build_groups(_members(spark, sf_dir))).drop("label")
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@_query(f"""WITH p AS (SELECT p_partkey AS id, {_GRAMS.format("lower(p_name || ' ' || p_type)")} AS g FROM part), q AS (SELECT p_partkey AS query_id, {_GRAMS.format("lower(substr(p_name, 1, length(p_name) - 1) || 'x')")} AS h FROM part WHERE p_partkey % 100 = 0),
+    s AS (SELECT query_id, id, len(list_intersect(g, h)) AS n, len(g) AS a, len(h) AS b FROM p, q), t AS (SELECT *, n / CAST(a + b - n AS DOUBLE) AS x FROM s) SELECT query_id, id AS canonical_product_id, CAST(round(x, 6) AS DOUBLE) AS similarity FROM t WHERE x >= 0.4""")
+def similar_products(spark, sf_dir):
+    """C-4, T-14: names with an error in their last letter, of the parts whose number is divisible by 100, against all parts."""
+    part = _part(spark, sf_dir)
+    texts = part.select(c("p_partkey").alias("canonical_product_id"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("search_text"))
+    asked = part.where("p_partkey % 100 = 0").select(c("p_partkey").alias("query_id"), F.expr("concat(substr(p_name, 1, length(p_name) - 1), 'x')").alias("query"))
+    return search.similar_many(texts, asked, least=0.4)
+
+
+@_query(f"""{_WITH}, p AS (SELECT p_partkey AS id, lower(p_name) AS name, lower(p_name || ' ' || p_type) AS text FROM part), q AS (SELECT 'red widgte' AS q), s AS (SELECT *, len(list_intersect({_GRAMS.format('text')}, {_GRAMS.format('q')})) / CAST(len(list_distinct(list_concat({_GRAMS.format('text')}, {_GRAMS.format('q')}))) AS DOUBLE) AS x FROM p, q),
+    hits AS (SELECT *, CASE WHEN name LIKE q || '%' THEN 0 WHEN text LIKE q || '%' THEN 1 ELSE 2 END AS rank FROM s WHERE (contains(text, q) OR (contains(text, 'red') AND contains(text, 'widgte')) OR x > 0.05) AND id IN (SELECT product_id FROM latest WHERE is_active))
+    SELECT id AS canonical_product_id, rank, CAST(round(x, 6) AS DOUBLE) AS similarity, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY rank, x DESC, id LIMIT 20""")
+def similarity_search(spark, sf_dir):
+    """C-4: the similarity path, for a query with two letters changed about."""
+    products = _part(spark, sf_dir).select(c("p_partkey").alias("canonical_product_id"), F.lower("p_name").alias("normalized_name"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("search_text"))
+    active = O.latest_offers(spark, sf_dir).withColumn("canonical_product_id", c("product_id"))
+    found = search.search_products(products, active, "red widgte", by_similarity=True)
+    return found.select("canonical_product_id", "rank", F.round("similarity", 6).alias("similarity"), "total")
 
 
 @_query("""WITH r AS (SELECT event_id // 50 AS run_id, CASE WHEN event_id // 50 % 2 = 0 THEN 'prices' ELSE 'deals' END AS kind, 'c' || user_id % 10 AS chain, sum(event_id % 7) AS rows, CASE WHEN count(*) FILTER (event_type = 'error') > 2 THEN 'timeout' END AS error FROM events GROUP BY ALL),

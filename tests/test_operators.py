@@ -235,3 +235,84 @@ def test_files_for_other_programs(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/matrix").columns == rows.columns
     write_id_catalog(rows, rows, rows, f"{tmp_path}/ids")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/ids/ids").collect()) == ["p", "p", "q"]
+
+
+def test_page_data_of_a_product_goes_first(spark):
+    page = """<input id='displayed_product_code' value='7290_72900001'><input id="displayed_product_name_and_contents" value=" Cocoa 500 g ">
+      <table><tr><td><h3>Cocoa, (יצרן/מותג: Elite, ברקוד: 7290000000123)</h3></td></tr></table><table class="results-table"></table>"""
+    rows = spark.createDataFrame([(1, page), (2, "<table><tr><td>no headline</td></tr></table>"), (3, None), (4, "<input id='displayed_product_code' value='temp_555'>")], "page_id long, html string")
+    told = pages.compare_products(rows)
+    assert {r.page_id: tuple(r)[1:] for r in told.collect()} == {1: ("7290_72900001", "Cocoa 500 g", "Elite", "7290000000123"), 2: (None,) * 4, 3: (None,) * 4, 4: ("temp_555", None, None, None)}
+    items = spark.createDataFrame([(1, "old", "Cocoa", "x", None, 1.0), (2, "our_9876543", "Tea", "y", None, 2.0), (3, "our_x1", "Jam", "z", "111", 3.0), (4, "b", "Oil", None, None, 4.0)], "page_id long, product_id string, name string, brand string, barcode string, price double")
+    merged = {r.page_id: tuple(r)[1:] for r in pages.with_page_products(items, told).collect()}
+    assert merged == {1: ("7290_72900001", "Cocoa 500 g", "Elite", "7290000000123", 1.0), 2: ("our_9876543", "Tea", "y", "9876543", 2.0), 3: ("our_x1", "Jam", "z", "111", 3.0), 4: ("temp_555", "Oil", None, "555", 4.0)}
+
+
+def test_kinds_of_rows_and_valid_products(spark):
+    rows = spark.createDataFrame([("physical", 1), ("online", 2)], "kind string, n int")
+    assert [r.n for r in pages.of_kind(rows, "online").collect()] == [2]
+    names = "names map<string, struct<long: string, short: string>>, localName string"
+    branch = "branch struct<isActive: boolean, isVisible: boolean, isOutOfStock: boolean, regularPrice: double>"
+    products = spark.createDataFrame([((({"1": ("a", None)}), None, (True, True, False, 1.0)),), ((({"1": (" ", "b")}), None, (True, False, None, 1.0)),), ((None, "c", (True, True, True, 0.0)),), ((None, " ", (True, True, None, 2.0)),), ((None, "d", (True, True, None, None)),)], f"product struct<{names.replace(' map', ': map').replace('localName string', 'localName: string')}, {branch.replace('branch struct', 'branch: struct')}>")
+    assert filters.valid_storefront(products).count() == 1 and filters.priced_storefront(products).count() == 3 and filters.in_stock(products).count() == 4
+
+
+def test_failed_ranges(spark):
+    stats = spark.createDataFrame([(i, 404 if i in (3, 4, 5, 9, 15, 16, 17) else 200) for i in range(20)] + [(30, None), (30, None)], "page_id long, status int").withColumn("ids", F.lit(0))
+    assert sorted(map(tuple, pages.failed_ranges(stats, span=16).collect())) == [(3, 5, 3), (9, 9, 1), (15, 15, 1), (16, 17, 2), (30, 30, 1)]
+    assert pages.page_summary(stats).first().failed == 9
+
+
+def test_products_of_one_barcode_make_no_pairs(spark):
+    """10,000 products with one barcode: each gets the best offer of every chain, through one row for each chain."""
+    n = 10_000
+    products = spark.range(n).select(F.col("id").alias("canonical_product_id"), F.lit("729").alias("barcode_digits"), F.concat(F.lit("k"), "id").alias("match_key"), F.lit("").alias("normalized_name"), F.lit("").alias("normalized_brand"), F.lit(None).cast("double").alias("unit_qty_si"), F.lit(None).cast("string").alias("unit_dimension"))
+    offers = spark.range(n).select(F.col("id").alias("canonical_product_id"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("chain"), F.lit(1).alias("store_id"), F.col("id").alias("product_id"), (F.lit(1.0) + F.col("id")).alias("price"), F.lit(False).alias("is_weighable"))
+    detail = catalog.product_detail(products, offers)
+    assert detail.count() == 3 * n
+    assert [tuple(r) for r in detail.select("chain", "product_id", "price", "place").distinct().orderBy("place").collect()] == [("c0", 0, 1.0, 1), ("c1", 1, 2.0, 2), ("c2", 2, 3.0, 3)]
+    classes = catalog.equivalence_classes(products).where("rule = 'barcode'")
+    assert classes.select("class", "size").distinct().collect() == [(0, n)] and classes.count() == n
+
+
+def test_masks_of_long_lists(spark):
+    """More items than a word of a mask holds; an item without a name, and a store that has all."""
+    items = spark.createDataFrame([(1, i, i) for i in range(150)], "list_id long, item_id int, canonical_product_id long")
+    lines = spark.createDataFrame([(1, i, "a", 1, 1.0) for i in range(150)] + [(1, i, "a", 2, 1.0) for i in range(150) if i % 50] + [(1, 149, "b", 3, 1.0)], "list_id long, item_id int, chain string, store_id long, line_total double")
+    names = items.where("item_id <> 50").select("list_id", "item_id", F.format_string("p%03d", "item_id").alias("name"))
+    found = {r.store_id: (r.missing, r.missing_names) for r in basket.missing_items(lines, items, names).collect()}
+    assert found == {2: (3, ["p000", "p100"]), 3: (149, [f"p{i:03d}" for i in range(149) if i != 50])}
+
+
+def test_baskets_of_groups_packages_and_fractions(spark):
+    """Items of products and of groups; meat by the kilogram in packages, weighed goods, and half an item. Prices are shared by lists."""
+    deal = "deal struct<has_deal: boolean, deal_type: string, deal_min_qty: int, deal_price: double>"
+    schema = f"canonical_product_id long, chain string, store_id long, product_id long, price double, regular_price double, is_weighable boolean, unit_qty_si double, unit_dimension string, is_active boolean, {deal}"
+    offers = spark.createDataFrame([
+        (1, "a", 1, 10, 10.0, 12.0, False, 1.0, "count", True, None), (1, "b", 2, 10, 9.0, 9.0, False, 1.0, "count", True, (True, "multi_buy", 2, 15.0)), (2, "a", 1, 20, 30.0, 30.0, True, 1000.0, "mass", True, None), (1, "b", 2, 11, 1.0, 1.0, False, 1.0, "count", False, None),
+    ], schema)
+    members = spark.createDataFrame([(None, "a", 1, 30, 20.0, 20.0, False, 400.0, "mass", True, None), (None, "a", 1, 31, 60.0, 60.0, False, 1000.0, "mass", True, None), (None, "b", 2, 32, 25.0, 25.0, False, 500.0, "mass", True, None)], schema).withColumns({"group_key": F.lit("chicken|breast"), "family": F.lit("chicken")})
+    items = spark.createDataFrame([(1, 1, 1, None, 3.0), (1, 2, 2, None, 1.5), (1, 3, None, "chicken|breast", 1.0), (2, 1, 1, None, 3.0), (2, 2, 1, None, 0.5), (3, 1, None, "nobody", 1.0)], "list_id long, item_id int, canonical_product_id long, group_key string, quantity double")
+    prices = basket.priced_wants(items, offers, members)
+    assert prices.count() == 2 + 2 + 1 + 2  # (product 1, 3) at two stores, (1, 0.5) at two, (2, 1.5) at one, the group at two
+    lines = {(r.list_id, r.item_id, r.store_id): (r.line_total, r.product_id, r.package_count) for r in basket.wanted(items, prices).collect()}
+    assert lines == {(1, 1, 1): (30.0, 10, 3), (1, 1, 2): (24.0, 10, 3), (1, 2, 1): (45.0, 20, None), (1, 3, 1): (60.0, 31, 1), (1, 3, 2): (50.0, 32, 2), (2, 1, 1): (30.0, 10, 3), (2, 1, 2): (24.0, 10, 3), (2, 2, 1): (5.0, 10, None), (2, 2, 2): (4.5, 10, None)}
+    totals = {(r.list_id, r.chain): (r.total, r.missing, r.place) for r in basket.compare_baskets(items, offers, members).collect()}
+    assert totals == {(1, "a"): (135.0, 0, 1), (1, "b"): (74.0, 1, 2), (2, "a"): (35.0, 0, 2), (2, "b"): (28.5, 0, 1)}
+
+
+def test_candidates_grow_with_the_tables(spark):
+    """Rows that references are compared with, among an eighth of the products and all: in proportion, not in the square."""
+    from shelfwise.plans import queries
+
+    counts, (references, targets) = [], queries._matched(spark, "/root/testdata/sf0.01")
+    for parts in (8, 1):
+        reference, target = (f.where(F.pmod(F.xxhash64("name_norm"), F.lit(parts)) == 0) for f in (references, targets))
+        key = ["target_chain", "reference_id"]
+        r = reference.where("code = ''").select("reference_id", *(F.col(x).alias(f"r_{x}") for x in ("brand_norm", "tokens")))
+        t = target.select("target_chain", "target_id", "seq", *(F.col(x).alias(f"t_{x}") for x in ("brand_norm", "tokens")))
+        rest = r.withColumn("target_chain", F.explode(F.array(*map(F.lit, queries._TARGETS))))
+        found, _, _ = coverage._candidates(rest, t, key)
+        counts.append((rest.count(), t.count(), found.count()))
+    (few, _, a), (many, _, b) = counts
+    assert a > 500 and many > 5 * few and b / a < (many / few) ** 1.2

@@ -109,3 +109,30 @@ def test_streams(spark, tmp_path):
     query = jobs.dedupe_pages(rows).writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.product_id for r in spark.table("deduped").collect()) == ["x", "y"]
+
+
+def test_states_of_chains_with_late_lines_and_timeouts(spark, tmp_path):
+    folder, check = tmp_path / "lines", str(tmp_path / "check")
+    schema = "run_id string, chain string, step string, products long, ts timestamp"
+    line = lambda chain, step, n, at: f'{{"run_id": "r", "chain": "{chain}", "step": "{step}", "products": {n}, "ts": "2026-01-01T{at}:00"}}'
+    out: list = []
+
+    def run(n, *lines):
+        put(folder, f"{n}.json", "\n".join(lines))
+        states = jobs.chain_states(spark.readStream.schema(schema).json(str(folder)))
+        query = states.writeStream.outputMode("update").foreachBatch(lambda batch, _: out.append({(r.chain, r.step, r.products, r.error) for r in batch.collect()})).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        told = set().union(*out)
+        out.clear()
+        return told
+
+    first = run(1, line("a", "fetched", 7, "10:02"), line("a", "started", 0, "10:00"), line("b", "started", 0, "10:01"))
+    assert first == {("a", "fetched", 7, None), ("b", "started", 0, None)}
+    second = run(2, line("a", "done", 9, "10:30"), line("c", "started", 0, "10:31"))
+    assert ("a", "done", 9, None) in second and ("c", "started", 0, None) in second
+    third = run(3, line("d", "started", 0, "11:00"), line("b", "fetched", 3, "09:00"))  # b's line is later than the lateness
+    fourth = run(4, line("d", "fetched", 5, "11:01"))
+    late = third | fourth
+    assert ("b", "failed", 0, "timed out") in late and not [x for x in late if x[0] == "b" and x[2] == 3]
+    assert not [x for x in late if x[0] == "a"]  # it had ended: forgotten in silence
