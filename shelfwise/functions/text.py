@@ -14,12 +14,13 @@ from .units import qty_bucket_match
 # Characters that are deleted, and words that say nothing about a product.
 APOSTROPHES = "'\"`´’‘ʼ׳״"
 GENERIC_WORDS = ["עם", "ללא", "של", "טרי", "ארוז", "מבצע", "מחיר", "חדש", "יח", "יחידה", "יחידות", "שומן", "טעם", "בטעם", "קג", "מל", "גרם", "ליטר"]
-# Fixed values of the coverage audit: punctuation, unit words, noise words, and how tokens look.
+# Fixed values of the coverage audit: punctuation, unit words, and noise words.
 PUNCTUATION = r"""["'״׳`´,.:;!?()\[\]{}<>|\\/+*=~^%$#@_-]"""
 UNIT_WORDS = {"קג": "kg", "קילו": "kg", "קילוגרם": "kg", "kg": "kg", "גרם": "g", "גר": "g", "g": "g", "מל": "ml", "ml": "ml", "ליטר": "l", "ל": "l", "l": "l"}
 NOISE_WORDS = ["מחיר", "לפי", "משקל", "ארוז", "מארז", "חדש", "יח", "יחידה", "יחידות"]
 NUMBER_AND_UNIT = r"([0-9]+(?:\.[0-9]+)?)\s*(kg|g|ml|l)"
-TOKEN = r"[0-9]+(?:[.,][0-9]+)?|[a-zA-Z֐-׿]+"
+#: A token: digits, or Latin and Hebrew letters but for the Hebrew marks that are punctuation. So one pass over a text is enough.
+TOKEN = r"[0-9]+|[a-zA-Z\u0590-\u05BD\u05BF-\u05F2\u05F5-\u05FF]+"
 
 
 def normalize_text(text: Column) -> Column:
@@ -78,9 +79,9 @@ def match_key(barcode: Column, brand: Column, name: Column, dimension: Column, q
 def tokenize_name(name: Column) -> Column:
     """Numbers and words, units by one spelling; noise words and single letters go."""
     units = F.create_map(*(F.lit(x) for pair in UNIT_WORDS.items() for x in pair))
-    found = F.regexp_extract_all(normalize_audit_text(name), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(TOKEN), F.lit(0))
     tokens = F.transform(found, lambda t: F.coalesce(F.element_at(units, t), t))
-    return F.filter(tokens, lambda t: ~t.isin(NOISE_WORDS) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
+    return F.filter(tokens, lambda t: ~t.isin(NOISE_WORDS) & ((F.length(t) > 1) | t.between("0", "9")))
 
 
 def quantity_signature(dimension: Column, qty_si: Column, weighable: Column, description: Column) -> Column:
