@@ -479,3 +479,34 @@ def basket_by_distance(spark, sf_dir):
     items, rows = _items(spark, sf_dir)
     near = O.branches(spark, sf_dir).withColumn("distance_km", (c("store_id") * 37 % 100) / F.lit(4.0))
     return basket.compare_baskets(items, rows, branches=near).select("list_id", "chain", "store_id", "missing", "place")
+
+
+#: The one rule that each of these offers breaks, and how it differs from a good reduction from 10 to 8.
+_BROKEN = {
+    "discounted_without_deal": {"deal": False}, "percent_without_deal": {"deal": False, "sale": None, "percent": 5.0}, "has_deal_not_true": {"has_deal": False}, "unknown_type": {"type": "gift"}, "no_description": {"text": " "},
+    "reduction_min_qty": {"qty": 2}, "reduction_price": {"price": 0.0, "each": 0.0, "sale": None}, "reduction_per_unit": {"each": 7.0, "sale": None}, "multi_buy_min_qty": {"type": "multi_buy", "qty": 0, "sale": None},
+    "multi_buy_price": {"type": "multi_buy", "qty": 2, "price": 0.0, "each": 0.0, "sale": None}, "multi_buy_per_unit": {"type": "multi_buy", "qty": 2, "price": 16.0, "each": 7.0, "sale": None}, "other_per_unit": {"type": "coupon", "qty": 2, "price": 16.0, "each": 7.0, "sale": None},
+    "deal_unit_price": {"size": 500.0, "by_unit": 2.0}, "regular_unit_price": {"size": 500.0, "by_unit_deal": 1.6}, "sale_per_unit": {"sale": 5.0},
+}
+_GOOD = {"deal": True, "has_deal": True, "type": "price_reduction", "text": "8 for one", "price": 8.0, "qty": 1, "each": 8.0, "sale": 8.0, "percent": None, "size": None, "by_unit": None, "by_unit_deal": None}
+
+
+@_query("SELECT p_partkey AS product_id, rule FROM part JOIN (VALUES " + ", ".join(f"({i}, '{rule}')" for i, rule in enumerate(_BROKEN)) + f") AS broken(i, rule) ON p_partkey % {len(_BROKEN) + 1} = i")
+def deal_rules(spark, sf_dir):
+    """Q-1: each rule has offers that break it and no other; every sixteenth offer breaks none."""
+    from ..functions.deals import DEAL
+
+    n = len(_BROKEN) + 1
+    cases = [_GOOD | change for change in _BROKEN.values()] + [_GOOD]
+    kinds = {"deal": "boolean", "has_deal": "boolean", "type": "string", "text": "string", "qty": "int"}
+    told = {k: F.element_at(F.array(*(F.lit(x[k]).cast(kinds.get(k, "double")) for x in cases)), (c("p_partkey") % n + 1).cast("int")) for k in _GOOD}
+    deal = F.struct(told["has_deal"].alias("has_deal"), told["type"].alias("deal_type"), told["text"].alias("deal_description"), told["price"].alias("deal_price"), told["qty"].alias("deal_min_qty"), told["each"].alias("deal_price_per_unit"), told["by_unit"].alias("price_per_base_unit"), told["by_unit_deal"].alias("price_per_base_unit_deal")).cast(DEAL)
+    rows = _part(spark, sf_dir).select(F.lit("a").alias("chain"), F.lit("1").alias("store_id"), c("p_partkey").alias("product_id"), F.lit(10.0).alias("regular_price"), told["sale"].alias("sale_price"), told["percent"].alias("discount_percent"), told["size"].alias("unit_qty_si"), F.when(told["size"].isNotNull(), "mass").alias("unit_dimension"), F.lit(False).alias("is_weighable"), F.when(told["deal"], deal).alias("deal"))
+    return checks.deal_violations(rows).select("product_id", "rule")
+
+
+@_query(f"{_WITH} SELECT n_name AS chain FROM nation WHERE n_name NOT IN (SELECT chain FROM offers WHERE store_id % 9 = 1)")
+def chains_not_served(spark, sf_dir):
+    """S-7: chains that were asked and of which no row came; here those without a store whose number leaves 1 by 9."""
+    asked = O.table(spark, sf_dir, "nation").select(c("n_name").alias("chain"))
+    return status.failed_chains(asked, O.offers(spark, sf_dir).where("store_id % 9 = 1").select("chain").distinct())
