@@ -20,13 +20,13 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an unknown language, or in none, go."""
+    """Documents in an unknown language, or in none (null and blank texts, and texts without letters), go. Repeated rows are judged alike; an empty table stays empty."""
     _small_batches(spark)
     return language_id.drop_unidentified(docs)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines are mostly bad go."""
+    """Documents whose lines are mostly bad go; null and blank texts have no line and are judged by the classifier's prior. Repeated rows are judged alike; an empty table stays empty."""
     _small_batches(spark)
     return quality.drop_bad(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,6 +43,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens. Null and blank texts are packed as their end alone; repeated rows are packed each; an empty table gives no piece."""
     _small_batches(spark)
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 

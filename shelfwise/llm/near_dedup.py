@@ -265,7 +265,8 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
     after, size = (lambda place: F.col(place).bitwiseAND((1 << 32) - 1)), (lambda place: F.shiftright(place, 32))
     hub = F.max(F.struct((after("place") / size("place")).alias("central"), "place", "doc_id")).over(every)
     rows = rows.withColumns({"hub": hub, "least": F.min("doc_id").over(every), "last": F.max("doc_id").over(every)}).where("least < last or share > 0")
-    met = written(rows.select("shingle", "doc_id", "place", "share", "hub"), "met")
+    told = F.struct(F.when(F.col("share") > 0, F.col("hub.central")).alias("central"), "hub.place", "hub.doc_id")  # how central it is, where it is asked for
+    met = written(rows.select("shingle", "doc_id", "place", "share", told.alias("hub")), "met")
     release(docs.sparkSession)  # the prefixes' shuffle is the largest
 
     def fits(one: str, other: str) -> Column:
