@@ -11,7 +11,7 @@ from ..functions import classify, deals, links, text, units
 from ..operators import basket, catalog, checks, coverage, filters, pages, search, status
 from ..sources import normalise, payloads
 from . import offers as O
-from .queries import _WITH, _items, _LINES, _PRODUCTS, _products, _query, _round, _runs
+from .queries import ORACLE_SQL, _WITH, _items, _LINES, _PRODUCTS, _products, _query, _round, _runs
 
 c = F.col
 
@@ -258,6 +258,11 @@ def commodity_members(spark, sf_dir):
     return _members(spark, sf_dir).select("store_id", "product_id", "group_key", "family").distinct()
 
 
+#: J-10 in pairs: groups that share a class.
+ORACLE_SQL["compatible_groups"] = f"""{_MEMBERS}, g AS (SELECT DISTINCT group_key, family FROM members), k AS (SELECT group_key, CASE WHEN family IN ('chicken', 'salmon', 'ground_beef') THEN family || CASE WHEN group_key LIKE '%|frozen|%' THEN '|frozen' ELSE '|fresh' END ELSE group_key END AS compatible FROM g)
+    SELECT a.group_key, b.group_key AS other FROM k a JOIN k b USING (compatible)"""
+
+
 @_query(f"""{_MEMBERS}, g AS (SELECT DISTINCT group_key, family FROM members) SELECT group_key, CASE WHEN family IN ('chicken', 'salmon', 'ground_beef') THEN family || CASE WHEN group_key LIKE '%|frozen|%' THEN '|frozen' ELSE '|fresh' END ELSE group_key END AS compatible FROM g""")
 def compatible_classes(spark, sf_dir):
     """J-10: groups that can stand for each other share a class; classes aren't expanded into pairs."""
