@@ -515,3 +515,75 @@ def chains_not_served(spark, sf_dir):
     """S-7: chains that were asked and of which no row came; here those without a store whose number leaves 1 by 9."""
     asked = O.table(spark, sf_dir, "nation").select(c("n_name").alias("chain"))
     return status.failed_chains(asked, O.offers(spark, sf_dir).where("store_id % 9 = 1").select("chain").distinct())
+
+
+_FIELDS = ["chain_name", "store_name", "place", "deal_text", "deal_price_text"]
+_ROW_CHECKS = [f"field_mismatch:{f}" for f in _FIELDS] + ["price_unparseable", "price_mismatch", "deal_type_mismatch", "row_count", None, "row_count"]
+
+
+@_query("SELECT kind, row_index, \"check\" FROM (SELECT DISTINCT l_orderkey AS kind, l_linenumber AS row_index FROM lineitem) JOIN (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_ROW_CHECKS) if x) + f") AS told(n, \"check\") ON (kind + row_index) % {len(_ROW_CHECKS)} = n")
+def row_checks(spark, sf_dir):
+    """Q-3: each check has rows that fail it and no other; every eleventh row differs only in blanks, commas and hidden characters. Either side lacks some rows."""
+    rows = O.table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("kind"), c("l_linenumber").alias("row_index")).distinct().withColumn("n", (c("kind") + c("row_index")) % len(_ROW_CHECKS))
+    shape = lambda f, price, kind: ["kind", "row_index", *(f(i).alias(x) for i, x in enumerate(_FIELDS)), price.alias("row_price_text"), kind.alias("deal_type")]
+    left = rows.where("n <> 10").select(*shape(lambda i: F.lit("a b"), F.lit("1,000.00"), F.lit("other")))
+    right = rows.where("n <> 8").select(*shape(lambda i: F.when(c("n") == i, "c").when(c("n") == 9, " a  b ").otherwise("a b"), F.when(c("n") == 5, "none").when(c("n") == 6, "1000.02").otherwise("​1000"), F.when(c("n") == 7, "coupon").otherwise("other")))
+    return checks.compare_rows(left, right)
+
+
+@_query("SELECT page_id FROM pages WHERE page_id % 7 < 4")
+def hidden_pages(spark, sf_dir):
+    """Q-5: pages of each way to hide rows, after the page's address; those one short of a bound, or long with their table, are left."""
+    shapes = ["​" * 201, "&#8203;&#x200B;&#65279;" * 67, "user-select : none;" * 21 + "data-" * 2001, "x" * 20_001, "x" * 20_001 + "results-table", "​" * 200 + "&#8203;" * 200, "user-select:none;" * 20 + "data-" * 2001]
+    padded = _pick(c("page_id"), *shapes)
+    return checks.obfuscated_pages(O.table(spark, sf_dir, "pages").select("page_id", F.concat("url", padded).alias("html")), long=20_000)
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE l_orderkey % 7 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN 700.25 ELSE CAST(l_quantity AS INT) + 0.5 END AS price FROM lineitem")
+def price_repairs(spark, sf_dir):
+    """U-10: signs and commas, doubled points, a price stuck to another of which the hint tells the right one, and texts without a price."""
+    q = c("l_quantity").cast("int").cast("string")
+    damaged = _pick(c("l_orderkey"), F.concat(F.lit("₪ "), q, F.lit(".50")), F.concat(q, F.lit(",50")), F.concat(q, F.lit("..50")), F.concat(F.lit("9.90"), q, F.lit(".50")), "none", "600", "700.25")
+    hint = F.when(c("l_orderkey") % 7 == 3, F.concat(q, F.lit(".5*")))
+    return O.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", units.repair_price(damaged, hint).alias("price"))
+
+
+_ASKED = [("{n} kg rice", "rice", "n", "mass"), ("rice {n}g", "rice", "n * 0.001", "mass"), ("oil {n},5 liter", "oil", "n + 0.5", "volume"), ("{n}ml oil", "oil", "n * 0.001", "volume"), ("oil {n} ליטר extra", "oil extra", "n", "volume"), ("rice {n} גרם", "rice", "n * 0.001", "mass"), ("{n} גלידה", "{n} גלידה", None, None), ("{n} kg", "{n} kg", "n", "mass")]
+
+
+@_query("WITH p AS (SELECT p_partkey, p_size AS n, p_partkey % 8 AS k FROM part) SELECT p_partkey, CASE k " + " ".join(f"WHEN {i} THEN replace('{x[1]}', '{{n}}', CAST(n AS VARCHAR))" for i, x in enumerate(_ASKED)) + " END AS query_text, CAST(round(CAST(CASE k " + " ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(_ASKED) if x[2]) + " END AS DECIMAL(18,6)), 6) AS DOUBLE) AS value, CASE k " + " ".join(f"WHEN {i} THEN '{x[3]}'" for i, x in enumerate(_ASKED) if x[3]) + " END AS dimension FROM p")
+def quantity_texts(spark, sf_dir):
+    """U-7: each unit in Latin and Hebrew letters, a decimal comma, a word that only begins as a unit, and a size without other words."""
+    n = c("p_size").cast("string")
+    asked = F.replace(_pick(c("p_partkey"), *(x[0] for x in _ASKED)), F.lit("{n}"), n)
+    found = units.parse_quantity_query(asked)
+    return _part(spark, sf_dir).select("p_partkey", found["text"].alias("query_text"), F.round(found["value"], 6).alias("value"), found["dimension"].alias("dimension"))
+
+
+@_query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber AS i, CAST(l_quantity AS DOUBLE) AS p, l_orderkey % 3 AS n FROM lineitem)
+    SELECT CAST(id AS VARCHAR) AS product_id, CASE WHEN n = 0 THEN 'shop' || i || '.co.il' ELSE 'chain:store:street ' || i END AS store_id, CASE WHEN n < 2 THEN p / 2 ELSE p END AS price, CASE WHEN n < 2 THEN p / 2 END AS sale_price, CASE WHEN n < 2 THEN 50.0 END AS discount_percent FROM r""")
+def compare_offers(spark, sf_dir):
+    """N-6: rows of comparison pages as offers; websites are told by their host, and only a reduction makes a sale price."""
+    n, i, q = c("l_orderkey") % 3, c("l_linenumber"), c("l_quantity").cast("double")
+    place = F.when(n == 0, F.concat(F.lit("https://www.shop"), i.cast("string"), F.lit(".co.il/a?b=c"))).otherwise(F.concat(F.lit("street "), i.cast("string")))
+    deal = F.when(n < 2, deals.price_reduction(q / 2, F.lit("half"))).otherwise(deals.multi_buy(F.lit(2), q, F.lit("two")))
+    rows = O.table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 8 + i).alias("page_id"), F.when(n == 0, "online").otherwise("physical").alias("kind"), F.lit("chain").alias("chain_name"), F.lit("store").alias("store_name"), place.alias("place"), q.alias("row_price"), deal.alias("deal"))
+    return normalise.normalise_compare(rows).select("product_id", "store_id", *(c(x).cast("double").alias(x) for x in ("price", "sale_price", "discount_percent")))
+
+
+def _storefront(spark, sf_dir) -> DataFrame:
+    """Parts as products of a storefront: some branches are closed or hidden, some sold out, some prices null or 0, some names blank."""
+    k = c("p_partkey")
+    names = F.create_map(F.lit("1"), F.struct(F.when(k % 2 == 0, c("p_name")).otherwise(" ").alias("long"), F.when(k % 4 == 1, c("p_name")).alias("short")))
+    price = F.when(k % 7 == 0, 0.0).when(k % 7 != 1, c("p_retailprice").cast("double"))
+    branch = F.struct((k % 3 != 0).alias("isActive"), (k % 5 != 0).alias("isVisible"), F.when(k % 11 != 0, k % 11 == 1).alias("isOutOfStock"), price.alias("regularPrice"))
+    return _part(spark, sf_dir).select(k, F.struct(names.alias("names"), F.when(k % 8 == 3, "local").otherwise("").alias("localName"), branch.alias("branch")).alias("product"))
+
+
+@_query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 OR p_partkey % 4 = 1 OR p_partkey % 8 = 3 AS named, p_partkey % 7 AS n FROM part)
+    SELECT k AS p_partkey, 'valid' AS filter FROM p WHERE named AND k % 3 <> 0 AND k % 5 <> 0 AND n > 1 UNION ALL SELECT k, 'priced' FROM p WHERE named AND n <> 1 UNION ALL SELECT k, 'in_stock' FROM p WHERE k % 11 <> 1""")
+def storefront_products(spark, sf_dir):
+    """F-3, F-4, F-5: what each platform's rule lets pass; a price of 0 passes where only a price is asked for, and an unknown stock is in stock."""
+    rows = _storefront(spark, sf_dir)
+    kept = {"valid": filters.valid_storefront(rows), "priced": filters.priced_storefront(rows), "in_stock": filters.in_stock(rows)}
+    return reduce(DataFrame.unionByName, (found.select("p_partkey", F.lit(name).alias("filter")) for name, found in kept.items()))
