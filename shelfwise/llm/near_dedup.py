@@ -35,6 +35,8 @@ CROWD = 64
 MOST_COMMON = 1 << 16
 #: Rows of a common shingle that are looked at together.
 SHARE_ROWS = 1 << 12
+#: Longs of a set's sketch.
+SKETCH_LONGS = 32
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -174,8 +176,8 @@ def _shingles(text: bytes | None, words: int) -> np.ndarray:
     return found if len(found) else np.array([xxhash.xxh64_intdigest(b"", SEED)], dtype=np.uint64).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
-    """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle.
+def _of_sets(docs: DataFrame, words: int, id_col: str, text_col: str, among: DataFrame | None, made, columns: dict[str, str]) -> DataFrame:
+    """doc_id and the columns that made() gives, as arrays, for the list of the sets of some rows.
 
     among: ids whose sets are wanted, in one column. A few other rows may have sets then too, as rows are chosen
     by a bitmap of fixed size, so that texts needn't be shuffled to be joined with the ids.
@@ -189,11 +191,33 @@ def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
                 batch = batch.filter(pa.array(flagged(wanted, batch.column(2).to_numpy())))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [_shingles(text, words) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                found = made([_shingles(text, words) for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["doc_id", *columns])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(id_col).alias("hash"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+    told = "".join(f", {name} {kind}" for name, kind in columns.items())
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}{told}")
+
+
+def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """doc_id and the distinct hashes of the shingles of each row's whole text; fewer words are one shingle. among: see _of_sets()."""
+    return _of_sets(docs, words, id_col, text_col, among, lambda sets: [pa.array(sets, pa.list_(pa.int64()))], {"shingles": "array<long>"})
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits, as longs, of which each is set if a shingle's hash falls on it."""
+    bits = np.zeros(64 * SKETCH_LONGS, dtype=bool)
+    bits[shingles.view(np.uint64) % np.uint64(len(bits))] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str, among: DataFrame) -> DataFrame:
+    """doc_id, n (the size of the row's set) and bits, its sketch. among: see _of_sets()."""
+
+    def made(sets):
+        return [pa.array([len(x) for x in sets], pa.int32()), pa.array([_sketch(x) for x in sets], pa.list_(pa.int64()))]
+
+    return _of_sets(docs, words, id_col, text_col, among, made, {"n": "int", "bits": "array<long>"})
 
 
 def _prefixes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str, common) -> DataFrame:
@@ -298,18 +322,32 @@ def similar_links(docs: DataFrame, known: DataFrame, least: float = 0.8, words:
 def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) of ids whose documents' Jaccard similarity over shingles is at least `least`.
 
-    Sets are made of documents that are in a pair, each once. Those whose sizes alone rule the
-    similarity out aren't brought together.
+    Every bit that one set's sketch has and the other's lacks is a shingle that the other set lacks. Pairs whose
+    sizes and sketches alone rule the similarity out aren't brought together, and whole sets are made only of
+    documents that are in one of the other pairs, each once.
     """
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    sets = written(shingle_sets(docs, words, id_col, text_col, ids).withColumn("n", F.size("shingles")), "shingles")
-    sizes = [sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab"]
-    fitting = written(pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")), "fitting")
+
+    def ids(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    def alike(both: Column) -> Column:
+        return both >= least * (F.col("a_n") + F.col("b_n") - both)
+
+    def shared(one: str, other: str) -> Column:
+        """How many shingles of one set are in the other at most."""
+        lacked = F.aggregate(F.zip_with(f"{one}_bits", f"{other}_bits", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+        return F.col(f"{one}_n") - lacked
+
+    sketches = written(_sketches(docs, words, id_col, text_col, ids(pairs)), "sketches")
+    sketched = [sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab"]
+    sized = pairs.join(sketched[0], "a").join(sketched[1], "b").where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
+    fitting = written(sized.where(alike(F.least(shared("a", "b"), shared("b", "a")))).select("a", "b", "a_n", "b_n"), "fitting")
+    discard(pairs, sketches)
+    sets = written(shingle_sets(docs, words, id_col, text_col, ids(fitting)), "shingles")
     joined = fitting.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    found = written(joined.where(both >= least * (F.col("a_n") + F.col("b_n") - both)).select("a", "b"), "similar")
-    discard(pairs, sets, fitting)
+    found = written(joined.where(alike(F.size(F.array_intersect("x", "y")))).select("a", "b"), "similar")
+    discard(sets, fitting)
     release(docs.sparkSession)
     return found
 

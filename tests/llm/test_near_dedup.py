@@ -194,3 +194,30 @@ def test_all_pairs_that_are_alike_by_shingles_are_joined(spark):
     assert len(expected) >= 4
     for crowd in (64, 1):
         assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs, crowd=crowd).collect()) == expected
+
+
+def test_whole_sets_are_made_only_of_texts_that_can_be_alike(spark, monkeypatch):
+    random.seed(11)
+    texts = [[random.choice(["a", "b", "c"]) + str(random.randrange(99)) for _ in range(n)] for n in (300, 300, 300, 300, 3000, 3000, 4, 0)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    for i, words in enumerate(texts[:6]):
+        for k, at in enumerate(([5], [0, -1], range(5, 200, 40), range(0, 300, 12))):
+            edited = list(words)
+            for x in at:
+                edited[x] = "edited"
+            rows.append((10 * (i + 1) + k, " ".join(edited)))
+    docs, ids = make_docs(spark, rows), sorted(i for i, _ in rows)
+    sets = {r.doc_id: set(r.shingles) for r in near_dedup.shingle_sets(docs).collect()}
+    expected = {(a, b) for a in ids for b in ids if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    made, whole = [], near_dedup.shingle_sets
+
+    def counted(*args):
+        made.append({r.doc_id for r in whole(*args).collect()})
+        return whole(*args)
+
+    monkeypatch.setattr(near_dedup, "shingle_sets", counted)
+    every = spark.createDataFrame([(a, b) for a in ids for b in ids if a > b], "a long, b long")
+    assert {(r.a, r.b) for r in near_dedup.similar_pairs(docs, every).collect()} == expected and len(expected) > 30
+    unlike = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (5, 4), (20, 0)], "a long, b long")
+    made.clear()
+    assert near_dedup.similar_pairs(docs, unlike).isEmpty() and not made[0] & {0, 1, 2, 3, 20}
