@@ -205,3 +205,48 @@ def test_a_long_unseen_word_scores_the_sum_over_its_bits(spark, documents):
 def test_blending_agrees_with_plain_sums():
     own, logs = np.array([0.0, 0.25, 0.0]), np.array([-2.0, -1.0, -5000.0])
     assert np.allclose(language_model._blended(own, np.full(3, 0.5), logs), [math.log10(0.005), math.log10(0.3), math.log10(0.5) - 5000])
+
+
+def plain_words_log10(model, t):
+    """What Words.log10 computes, one bit at a time."""
+    out, errors, text = [0.0] * len(t.keys), {}, None
+    token, node, bit, (first, second) = model.events(t)
+    for i, n, b, s0, s1 in zip(token.tolist(), node.tolist(), bit.tolist(), first.tolist(), second.tolist()):
+        if t.text[i] != text:
+            text, errors = t.text[i], {}
+        w = model.weights[model.seen[0, s0] * 4 + model.seen[1, s1]]
+        x = min(max(w[0] * model.odds[n] + w[1] * model.hashed_odds[0, s0] + w[2] * model.hashed_odds[1, s1], -12), 12)
+        p, (error, spread) = 1 / (1 + math.exp(-x)), errors.get(n, (0.0, 0.0))
+        x += error / (spread + language_model.STEADY)
+        errors[n] = error + b - p, spread + p * (1 - p)
+        out[i] += max(math.log10(1 / (1 + math.exp(-x if b else x))), -6)
+    return out
+
+
+def test_bits_of_frequent_words_match_a_plain_version_and_add_up_to_one(spark, documents):
+    endings = learned_endings(spark, documents)
+    model = endings.words
+    texts = [r.text.encode() for r in documents.limit(3).collect()] + [b"", b"zq\xff zq\xff the end"]
+    t = language_model.tokens(texts, np.ones(len(texts), dtype=int))
+    found = model.log10(t)
+    assert np.allclose(found, plain_words_log10(model, t), rtol=1e-4) and (found[model.coded(t.keys) >= 0] < 0).mean() > 0.5
+    assert np.allclose(model.log10(t, endings.contexts(t)), found) and (found[~t.is_word] == 0).all()
+    ending = int.from_bytes(b"he", "big")
+    rest = int(model.code.class_of[ending])
+    every = language_model.tokens([r.text.encode() for r in documents.collect()], np.ones(documents.count(), dtype=int))
+    keys = np.unique(every.keys[(every.endings == ending) & (model.coded(every.keys) >= 0)])
+    before, total = language_model.tokens([texts[0][:200]], np.zeros(1, dtype=int)), 0.0
+    for key in [*keys.tolist(), 7]:
+        one = language_model.Tokens(np.append(before.text, 0), np.append(before.keys, np.uint64(key)), np.append(before.endings, ending), before.data, before.starts, before.lengths, np.append(before.is_word, True))
+        total += 10 ** model.log10(one)[-1]
+    assert len(keys) > 3 and model.code.lengths[rest] > 0 and abs(total - 1) < 1e-3
+
+
+def test_a_known_word_is_predicted_from_the_word_before(spark):
+    """Both words have one ending and one count; only what they follow tells them apart."""
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    others = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, ("peter kab" if k % 2 else "quent lab") + f" w{k % 50}") for k, i in enumerate(others)]
+    rows += [(held[0], "peter kab"), (held[1], "peter lab")]
+    scores = {r.doc_id: r.score for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()}
+    assert scores[held[0]] > scores[held[1]] + 2
