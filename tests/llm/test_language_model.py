@@ -250,3 +250,10 @@ def test_a_known_word_is_predicted_from_the_word_before(spark):
     rows += [(held[0], "peter kab"), (held[1], "peter lab")]
     scores = {r.doc_id: r.score for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()}
     assert scores[held[0]] > scores[held[1]] + 2
+
+
+def test_endings_are_contexts_of_spellings_only(spark):
+    """Other predictors code them: of the, its first byte and the word's end are learned; of a, nothing."""
+    words = spark.createDataFrame([(bytearray(b"the"), 1), (bytearray(b"a"), 1)], "word binary, n long")
+    bits = spelling._slot_counts(words).selectExpr("sum(zeros + ones) as n").first().n
+    assert bits == 16 * 8 * 2 * spelling.TABLES
