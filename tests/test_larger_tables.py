@@ -44,3 +44,7 @@ def millions(copied):
 
 def test_numbers_of_seven_digits_are_no_barcodes(spark, millions):
     assert_as_sql(spark, "barcode_matches", millions)
+
+
+def test_numbers_of_seven_digits_are_no_keys_of_references(spark, millions):
+    assert_as_sql(spark, "reference_catalog", millions)
