@@ -79,13 +79,29 @@ def equivalence_classes(products: DataFrame, id_col: str = "canonical_product_id
     return keyed.join(classes, ["rule", "key"]).select("id", "rule", "class", "size")
 
 
+#: Products of one key that a task pairs with all others of it at a time.
+PAIRED = 1000
+
+
 def equivalent_products(products: DataFrame, id_col: str = "canonical_product_id") -> DataFrame:
     """(id, other): products that share a key of one of the rules; itself too; not transitive.
 
-    All pairs, for those who want them; equivalence_classes tells the same in one row for each product and rule.
+    All pairs, for those who want them; equivalence_classes tells the same in one row for each product and rule. A pair is
+    told by the first class that the two share, so pairs aren't shuffled to be made distinct; and a class is dealt out in shares of
+    PAIRED products, each of which meets all others, so a task holds no more than a class's products.
     """
-    keyed = equivalence_keys(products, id_col)
-    return keyed.join(keyed.withColumnRenamed("id", "other"), ["rule", "key"]).select("id", "other").distinct()
+    order = {rule: i for i, rule in enumerate(EQUIVALENCE)}
+    number = reduce(lambda a, r: a.when(F.col("rule") == r, order[r]), order, F).cast("int")
+    classes = equivalence_classes(products, id_col).where("size > 1").select("id", F.struct(number.alias("rule"), "class").alias("class"), "size").distinct()
+    own = classes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("class", "size"))).alias("own"))  # as many as a product has keys
+    each = own.select("id", F.col("own.class").alias("own"), F.explode("own").alias("_c")).select("id", F.col("_c.class").alias("class"), F.filter("own", lambda c: c < F.col("_c.class")).alias("before"), F.ceil(F.col("_c.size") / PAIRED).cast("int").alias("shares"))
+    n = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = each.withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).drop("shares")
+    right = each.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(F.col("id").alias("other"), "class", "share", F.col("before").alias("before_"))
+    met = left.repartition(n, "class", "share").join(right, ["class", "share"])
+    first = (F.size("before") == 0) | (F.size("before_") == 0) | ~F.arrays_overlap("before", "before_")
+    itself = products.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    return met.where(~F.col("id").eqNullSafe(F.col("other")) & first).select("id", "other").unionByName(itself.select("id", F.col("id").alias("other")))
 
 
 def best_offer_per_chain(offers: DataFrame, keys: list[str], distance: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracles import plain
 
+from shelfwise.operators import catalog, search
 from shelfwise.plans import queries as plans
 from shelfwise.plans import rules  # noqa: F401  registers its queries with the others
 
@@ -48,3 +49,23 @@ def test_numbers_of_seven_digits_are_no_barcodes(spark, millions):
 
 def test_numbers_of_seven_digits_are_no_keys_of_references(spark, millions):
     assert_as_sql(spark, "reference_catalog", millions)
+
+
+def _top(frame) -> str:
+    """The first node of the optimised plan."""
+    return frame._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+
+
+PRODUCT = "canonical_product_id long, barcode_digits string, match_key string, normalized_name string, normalized_brand string, unit_qty_si double, unit_dimension string"
+
+
+def test_pairs_are_told_once_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "PAIRED", 7)  # a class has several shares
+    rows = [(i, "729" if i % 2 else "", f"k{i % 5}" if i < 20 else None, "milk" if i % 3 else "", "b", 1.0 if i % 4 else None, None) for i in range(60)]
+    found = catalog.equivalent_products(spark.createDataFrame(rows, PRODUCT))
+
+    def same(a, b):
+        return a[0] == b[0] or (a[1] and a[1] == b[1]) or (a[2] and a[2] == b[2]) or (a[3] and a[3:6] == b[3:6])
+
+    assert sorted(map(tuple, found.collect())) == sorted((a[0], b[0]) for a in rows for b in rows if same(a, b))
+    assert not _top(found).startswith("Aggregate")
