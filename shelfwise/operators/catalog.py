@@ -156,15 +156,20 @@ def product_detail(products: DataFrame, offers: DataFrame, branches: DataFrame |
     """For each product the best offer of each chain among its equivalents' offers (cheapest, nearest, least store and product), cheapest first.
 
     No pair of products is made: offers are reduced to the best of each key and chain, then a product takes the
-    best over its own keys. So a key of very many products has a row for each chain.
+    best over its own keys. So a key of very many products has a row for each chain. A key that one product has alone tells
+    nothing but its own offers, and those only count for a product that shares no key, as a shared key's offers have them among them.
     """
     if branches is not None:
         offers = offers.join(branches.select("chain", "store_id", "distance_km"), ["chain", "store_id"], "left")
     order = ["price", *([F.coalesce("distance_km", F.lit(float("inf"))).alias("far")] if branches is not None else []), "store_id", "product_id"]
-    keyed = equivalence_keys(products, id_col)
-    offered = keyed.join(offers.withColumnRenamed(id_col, "id"), "id").select("rule", "key", "chain", F.struct(*order).alias("order"), F.struct(*(c for c in offers.columns if c not in (id_col, "chain"))).alias("offer"))
-    of_key = offered.groupBy("rule", "key", "chain").agg(F.min("order").alias("order"), F.min_by("offer", "order").alias("offer"))
-    best = keyed.join(of_key, ["rule", "key"]).groupBy("id", "chain").agg(F.min_by("offer", "order").alias("offer")).select("id", "chain", "offer.*")
+    rest = [c for c in offers.columns if c not in (id_col, "chain")]
+    place = F.struct(*order).alias("order")
+    own = offers.select(F.col(id_col).alias("id"), "chain", place, F.struct(*rest).alias("offer"))
+    shared = equivalence_classes(products, id_col).where("size > 1").select("id", "rule", "class").distinct()
+    of_class = shared.join(own, "id").groupBy("rule", "class", "chain").agg(F.min("order").alias("order"), F.min_by("offer", "order").alias("offer"))
+    told = shared.join(of_class, ["rule", "class"]).select("id", "chain", "order", "offer")
+    alone = products.select(F.col(id_col).alias("id")).distinct().join(shared, "id", "left_anti").join(own, "id").select(told.columns)
+    best = told.unionByName(alone).repartition("id").groupBy("id", "chain").agg(F.min_by("offer", "order").alias("offer")).select("id", "chain", "offer.*")
     place = F.row_number().over(Window.partitionBy("id").orderBy("price", "chain"))
     return best.withColumn("place", place).withColumn("weighable", F.max("is_weighable").over(Window.partitionBy("id")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_oracles import plain
 
 from shelfwise.operators import catalog, search
+from shelfwise.plans import offers
 from shelfwise.plans import queries as plans
 from shelfwise.plans import rules  # noqa: F401  registers its queries with the others
 
@@ -83,3 +84,19 @@ def test_equal_texts_are_compared_once(spark, monkeypatch):
     for frame in (many, alike):  # words and trigrams are made of the two texts, not of 60 products
         made = frame._jdf.queryExecution().analyzed().toString()
         assert "min(canonical_product_id" in made
+
+
+def test_columns_that_are_not_used_are_not_dealt(spark, sf_dir):
+    for rows in (offers.latest_offers(spark, sf_dir), offers.first_offers(spark, sf_dir)):
+        plan = rows.select("store_id", "product_id")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        dealt = [below for above, below in zip(plan, plan[1:]) if "RepartitionByExpression" in above]
+        assert dealt and not any("l_extendedprice" in line or "l_returnflag" in line for line in dealt)
+
+
+def test_detail_of_products_with_shared_and_own_keys(spark):
+    rows = [(1, "729", "a", "milk", "b", 1.0, None), (2, "729", "b", "tea", "b", 1.0, None), (3, "", "c", "tea", "b", 1.0, None), (4, "", "d", "salt", "b", 1.0, None), (5, "", "e", "", "b", 1.0, None)]
+    sold = [(i, chain, 10 * i, i, float(price), i == 3) for i, chain, price in ((1, "x", 5), (2, "x", 4), (2, "y", 7), (3, "y", 6), (4, "x", 9))]
+    found = catalog.product_detail(spark.createDataFrame(rows, PRODUCT), spark.createDataFrame(sold, "canonical_product_id long, chain string, store_id long, product_id long, price double, is_weighable boolean"))
+    assert sorted(map(tuple, found.select("id", "chain", "product_id", "place", "weighable").collect())) == [
+        (1, "x", 2, 1, False), (1, "y", 2, 2, False), (2, "x", 2, 1, True), (2, "y", 3, 2, True), (3, "x", 2, 1, True), (3, "y", 3, 2, True), (4, "x", 4, 1, False),
+    ]
