@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracles import plain
 
-from shelfwise.operators import catalog, search
+from shelfwise.functions.deals import DEAL
+from shelfwise.operators import basket, catalog, search
 from shelfwise.plans import offers
 from shelfwise.plans import queries as plans
 from shelfwise.plans import rules  # noqa: F401  registers its queries with the others
@@ -100,3 +101,15 @@ def test_detail_of_products_with_shared_and_own_keys(spark):
     assert sorted(map(tuple, found.select("id", "chain", "product_id", "place", "weighable").collect())) == [
         (1, "x", 2, 1, False), (1, "y", 2, 2, False), (2, "x", 2, 1, True), (2, "y", 3, 2, True), (3, "x", 2, 1, True), (3, "y", 3, 2, True), (4, "x", 4, 1, False),
     ]
+
+
+def test_lines_are_priced_where_their_lists_are(spark, monkeypatch):
+    monkeypatch.setattr(basket, "ITEMS", 2)  # several ranges of lists
+    schema = f"chain string, store_id long, product_id long, canonical_product_id long, price double, regular_price double, is_weighable boolean, unit_qty_si double, unit_dimension string, deal {DEAL}, is_active boolean"
+    rows = [(c, s, 10 * p + k, p, 5.0 + p + s - k, 9.0, p == 2, 500.0, "mass" if p == 2 else "count", None, p != 4) for c, s in (("a", 1), ("b", 1), ("b", 2)) for p in (1, 2, 4) for k in range(1 + s % 2)]
+    sold = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(i, n, float(n + 1) / 2, p) for i in range(6) for n, p in enumerate((1, 2, 3, 4))], "list_id long, item_id int, quantity double, canonical_product_id long")
+    found = basket.product_lines(items, sold)
+    expected = basket.best_lines(items.join(sold.where("is_active"), "canonical_product_id").withColumn("family", F.lit(None).cast("string")))
+    assert found.select("range").distinct().count() > 1
+    assert sorted(map(tuple, found.select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
